@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sealframe.llm import packing, token_counts, token_files
+from sealframe.llm import packing, quality, simhash, token_counts, token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,14 +23,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "leading_space", 50256)
 
 
+def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash_balls": op5_simhash_balls,
     "op7_token_files": op7_token_files,
+    "op8_host_quality_rules": op8_host_quality_rules,
 }
 
 SQL: dict[str, str] = {}
