@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import SPACE, cut, small
+from sealframe.llm.shared import SPACE, cut, opaque, small
 
 #: Characters that separate words, and those that count as symbols.
 SEPARATORS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
@@ -68,10 +68,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("__places", F.sort_array(F.filter(found, lambda x: x.isNotNull())))
     # each place covers the words up to the next one, WINDOW at most
     repeated = F.aggregate("__places", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["last"])).alias("n"), x.alias("last")), lambda a: a["n"])
-    # always true; as the condition isn't deterministic, Catalyst doesn't push a filter on this column below the steps
-    # above, where it would put each step's expression in the place of its every use
-    once = F.monotonically_increasing_id() >= 0
-    return out.withColumn("n_repeat_words", F.when(once, F.coalesce(repeated, F.lit(0).cast("long")))).drop("__words", "__sorted", "__places")
+    return out.withColumn("n_repeat_words", opaque(F.coalesce(repeated, F.lit(0).cast("long")))).drop("__words", "__sorted", "__places")
 
 
 def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast. Sides that use it have a few narrow columns,
@@ -54,6 +54,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def opaque(column: Column) -> Column:
+    """The column, computed where it stands: Catalyst doesn't push a filter on it further down.
+
+    A filter that is pushed below a projection carries the projected expression with it, in the place of each use; for
+    an expression over whole texts that is used inside a lambda, this means once for each element.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def by_rows(it, *columns):
     """Arrow batches as tuples of Python lists, one list for each of the columns."""
     for batch in it:
