@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -17,3 +18,15 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in path.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        found = _local.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="spark-sealframe-")
+        _local[spark.sparkContext.applicationId] = found
+    return found.removeprefix("file://")
+
+
+_local: dict[str, str | None] = {}
