@@ -18,6 +18,9 @@ SEPARATORS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
 #: A host is rejected at this shrunk failure rate: at least this share of its documents is expected to fail one rule.
 LIMIT = 0.6
+#: Bounds of the prior's weight in documents: a host of few documents is never judged by these alone, and hosts that hardly
+#: differ are still judged by their own rates in the end.
+LEAST_WEIGHT, MOST_WEIGHT = 10.0, 1000.0
 
 #: Words in a window of n_repeat_words.
 WINDOW = 3
@@ -81,15 +84,15 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     """host, rule, n, n_failed, rate: failure rates by host and rule, shrunk by the rule's beta prior.
 
     The prior's mean is the rule's failures over all documents; its weight a + b = m (1 - m) / v - 1, with v the
-    variance of rates between hosts (weighted by documents) less what sampling alone explains; at least 1, and at most
-    1000 where hosts don't differ. Documents without a host are one host, null.
+    variance of rates between hosts (weighted by documents) less what sampling alone explains, within LEAST_WEIGHT and
+    MOST_WEIGHT. Documents without a host are one host, null.
     """
     by_host = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *(F.count_if(F.col(f"failed.{k}")).alias(k) for k in RULES))
     by_host = cut(by_host.select("host", "n", F.explode(F.create_map(*(x for k in RULES for x in (F.lit(k), F.col(k))))).alias("rule", "n_failed")))
     share = F.col("n_failed") / F.col("n")
     prior = by_host.groupBy("rule").agg((F.sum("n_failed") / F.sum("n")).alias("m"), (F.sum(F.col("n") * share * share) / F.sum("n")).alias("square"), (F.count("*") / F.sum("n")).alias("sampling"))
     between = F.greatest(F.col("square") - F.col("m") * F.col("m") - F.col("m") * (1 - F.col("m")) * F.col("sampling"), F.lit(1e-12))
-    prior = prior.select("rule", "m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(1.0)), F.lit(1000.0)).alias("weight"))
+    prior = prior.select("rule", "m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / between - 1, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT)).alias("weight"))
     # a row for each rule
     joined = by_host.join(F.broadcast(prior), "rule")
     return joined.select("host", "rule", "n", "n_failed", ((F.col("n_failed") + F.col("m") * F.col("weight")) / (F.col("n") + F.col("weight"))).alias("rate"))
@@ -128,10 +131,10 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit:
     than moving or storing their texts.
     """
     counted = cut(with_rules(docs.select(host, text), text).select(host, "failed"))
-    measured = docs.withColumns({f"__{c}": F.col(c) for c in docs.columns})  # docs' own columns of these names survive
+    measured = docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns})  # docs' own columns of these names survive
     measured = with_rules(measured, text)
     kept = judge(measured, rejected_hosts(counted, host, limit), host).where("kept")
-    return kept.select(*(F.col(f"__{c}").alias(c) for c in docs.columns))
+    return kept.select(*(F.col(f"__own_{c}").alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -74,8 +74,9 @@ def tree(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     total = leaves.agg(F.sum("bad"), F.sum("labelled")).first()
     prior = total[0] / total[1] if total[1] else 0.0
     shares = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    shares = cut(shares.select("host", "template", ((F.col("bad") + WEIGHT * prior) / (F.col("labelled") + WEIGHT)).alias("share")))
-    return leaves.select("host", *segments, "template").join(small(shares), ["host", "template"])
+    # a template without labels has no share: nothing speaks against it
+    shares = cut(shares.where("labelled > 0").select("host", "template", ((F.col("bad") + WEIGHT * prior) / (F.col("labelled") + WEIGHT)).alias("share")))
+    return leaves.select("host", *segments, "template").join(small(shares), ["host", "template"], "left")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", depth: int = DEPTH) -> DataFrame:
