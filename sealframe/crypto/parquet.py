@@ -21,7 +21,10 @@ def read_options(keys: str) -> dict[str, str]:
     return {
         "parquet.crypto.factory.class": "org.apache.parquet.crypto.keytools.PropertiesDrivenCryptoFactory",
         "parquet.encryption.kms.client.class": CLIENT,
+        # caches of clients and unwrapped keys are kept apart by instance and token
+        "parquet.encryption.kms.instance.id": keys,
         "parquet.encryption.kms.instance.url": keys,
+        "parquet.encryption.key.access.token": keys,
     }
 
 

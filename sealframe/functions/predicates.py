@@ -1,8 +1,8 @@
 """Query clauses as column predicates.
 
 A clause is a dictionary with one key, as in {"term": {"status": "open"}}. Predicates are plain columns, so filters reach
-the Parquet scan where Spark can push them. A clause is never null: where SQL would say unknown, it says false, so that
-must_not keeps rows without a value.
+the Parquet scan where Spark can push them. A predicate may be null where a row has no value, which a filter takes as
+false; where it is negated or counted, null is made false first, so that must_not keeps rows without a value.
 """
 
 from __future__ import annotations
@@ -116,13 +116,13 @@ def _bool(fields: Fields, body: Mapping[str, Any]) -> Column:
     for p in [*each("must"), *each("filter")]:
         out = out & p
     for p in each("must_not"):
-        out = out & ~p
+        out = out & ~F.coalesce(p, F.lit(False))
     should = each("should")
     least = int(body.get("minimum_should_match", 0 if "must" in body or "filter" in body else 1))
     if should and least:
-        held = should[0].cast("int")
-        for p in should[1:]:
-            held = held + p.cast("int")
+        held = F.lit(0)
+        for p in should:
+            held = held + F.coalesce(p, F.lit(False)).cast("int")
         any_of = should[0]
         for p in should[1:]:
             any_of = any_of | p
@@ -144,11 +144,10 @@ _CLAUSES: dict[str, Callable[[Fields, Mapping[str, Any]], Column]] = {
 
 
 def predicate(fields: Fields, query: Mapping[str, Any]) -> Column:
-    """The clause as a column that is true or false. Inside a conjunction Catalyst drops the null test where it can."""
+    """The clause as a boolean column; null counts as false."""
     if len(query) != 1:
         raise ValueError(f"a clause has one key, not {sorted(query)}")
     ((kind, body),) = query.items()
     if kind not in _CLAUSES:
         raise ValueError(f"no such clause: {kind}")
-    found = _CLAUSES[kind](fields, body)
-    return found if kind in ("bool", "match_all") else F.coalesce(found, F.lit(False))
+    return _CLAUSES[kind](fields, body)

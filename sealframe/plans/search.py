@@ -15,7 +15,7 @@ PAGE = 10
 
 
 def where(df: DataFrame, query: Mapping[str, Any], analyzed: Mapping[str, str] | None = None) -> DataFrame:
-    """The rows that match the query. The root's own null test is left out, as a filter drops nulls anyway."""
+    """The rows that match the query."""
     return df.where(predicate(Fields(df.schema, analyzed), query))
 
 
