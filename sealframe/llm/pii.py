@@ -140,7 +140,11 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     import numpy as np
 
     t = F.col(text)
-    sample = docs.where(t.rlike("[0-9@]")).select(t.alias("text"), F.xxhash64(t).alias("h")).orderBy("h", "text").limit(SAMPLE).select("text")
+    hashed = docs.select(t.alias("text"), F.xxhash64(t).alias("h"))
+    # a share of all hashes in which ten times the sample is expected, so that what one task sorts doesn't grow with the corpus
+    share = min(1.0, 10 * SAMPLE / max(1, docs.count()))
+    chosen = hashed.where((F.col("h") <= min(int(share * 2**64), 2**64 - 1) - 2**63) & F.col("text").rlike("[0-9@]")).dropDuplicates(["h"])
+    sample = chosen.orderBy("h").limit(SAMPLE).select("text")
 
     def rows(batches):
         for (texts,) in by_rows(batches, "text"):
