@@ -201,7 +201,8 @@ def place(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Da
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = sum(histogram.values())
     groups = max(1, math.ceil(max(histogram.values(), default=0) * 8 * tasks / max(total, 1)))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.struct(*kept)), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")).withColumn("__row", F.monotonically_increasing_id())
+    # groups by place in the stored table, as rows of one length may be equal in all columns
+    dealt = pieces.withColumn("__row", F.monotonically_increasing_id()).withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)))
     counted = dealt.groupBy(F.col(length).alias("__length"), F.col("__group").alias("__of")).count()
     before = Window.partitionBy("__length").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
