@@ -1,7 +1,8 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders, so a question and its copies with other figures, people or measures
-have one template. Windows of five template words of all documents are joined by hash with those of the benchmark; a
+have one template. A capitalised word that opens a sentence may be a name or not, so its windows have both forms, and the
+exact form in lower case finds verbatim copies in other case. Windows of five template words of all documents are joined by hash with those of the benchmark; a
 document that holds at least 0.8 of an item's windows is contaminated if the values in the placeholders agree, that is,
 if each value of the item stands for one value throughout the document's copy.
 
@@ -11,11 +12,13 @@ benchmark's windows; the join that follows is exact.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import BROADCAST_ROWS, cut, small
+from sealframe.llm.shared import cut, small
 
 #: Words in a window, windows of an item that a copy has at least, share of placeholders that agree.
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
@@ -29,6 +32,7 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ounce ounces pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees kph mph"
 
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
+TYPED, EXACT = range(2)
 _TRIM = ".,;:!?\"'()[]{}|*#&_-–—…“”‘’«»¿¡"
 
 
@@ -68,70 +72,117 @@ _codes = _Codes()
 
 
 def template(text: str | None):
-    """(codes, kinds, words): a text's template words, without those that are only marks.
+    """(exact, kinds, opens, words): a text's template words, without those that are only marks.
 
-    A capitalised word is a name unless it begins the text or follows the end of a sentence.
+    exact: codes of the words in lower case. A capitalised word inside a sentence is a name; one that begins the text or a
+    sentence may be a name or not, which opens marks.
     """
     import numpy as np
 
     words = (text or "").split()
     raw = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
     kinds = (raw >> np.uint64(2) & np.uint64(7)).astype(np.int8)
-    opens = np.ones(len(words), dtype=bool)
-    opens[1:] = raw[:-1] & np.uint64(1) == 1
-    kinds[(raw & np.uint64(2) > 0) & ~opens & (kinds == LITERAL)] = NAME
-    codes = np.where(kinds == LITERAL, raw & np.uint64(~31 & (1 << 64) - 1), kinds.astype(np.uint64))
+    starts = np.ones(len(words), dtype=bool)
+    starts[1:] = raw[:-1] & np.uint64(1) == 1
+    upper = (raw & np.uint64(2) > 0) & (kinds == LITERAL)
+    kinds[upper & ~starts] = NAME
+    exact, opens = raw & np.uint64(~31 & (1 << 64) - 1), upper & starts
     if (kinds == NOTHING).any():
         left = np.flatnonzero(kinds != NOTHING)
-        return codes[left], kinds[left], left, words
-    return codes, kinds, None, words
+        return exact[left], kinds[left], opens[left], [words[j] for j in left.tolist()]
+    return exact, kinds, opens, words
+
 
+def windows(exact, kinds, opens, of, window: int = WINDOW):
+    """(at, hash, holes, form) arrays of the windows of many texts, laid end to end; of: the text of each word.
 
-def windows(codes, kinds, window: int = WINDOW):
-    """(hashes of all windows as signed 64-bit integers, which of them have enough literal words)."""
+    A window has its template form, a further one for each choice of its openers that are taken as names, and the exact
+    form of its words in lower case. holes: bits of the words that are placeholders. form: TYPED or EXACT. Typed forms
+    have enough literal words.
+    """
     import numpy as np
 
-    n = len(codes) - window + 1
+    n = len(exact) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
-    h, literal = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int8)
-    plain = (kinds == LITERAL).astype(np.int8)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int8)
+    typed = np.where(kinds == LITERAL, exact, kinds.astype(np.uint64))
+    empty, may = (kinds != LITERAL).astype(np.int64), opens.astype(np.int64)
+    holes, names = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for k in range(window):
-        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        literal += plain[k : k + n]
-    return h.view(np.int64), literal >= LITERALS
-
-
-def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, window: int = WINDOW) -> DataFrame:
-    """key columns, hash, slots (values of the placeholders), each window of a text once; chosen: a bitmap of hashes to keep."""
+        holes |= empty[k : k + n] << k
+        names |= may[k : k + n] << k
+    within = np.flatnonzero(of[:n] == of[window - 1 :])
+    holes_of, names_of = holes[within], names[within]
+
+    def hashed(codes, at, chosen: int, seed: int):
+        h = np.full(len(at), seed, dtype=np.uint64)
+        for k in range(window):
+            h = (h ^ (np.uint64(NAME) if chosen >> k & 1 else codes[at + k])) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h.view(np.int64)
+
+    found = [(within, hashed(exact, within, 0, window), holes_of, np.full(len(within), EXACT, dtype=np.int8))]
+    some = np.flatnonzero(names_of)
+    for chosen in range(1 << window):
+        of_these = some[names_of[some] & chosen == chosen] if chosen else np.arange(len(within))
+        gaps = holes_of[of_these] | chosen
+        of_these = of_these[window - np.bitwise_count(gaps) >= LITERALS]
+        if len(of_these):
+            at = within[of_these]
+            found.append((at, hashed(typed, at, chosen, 0), holes_of[of_these] | chosen, np.full(len(at), TYPED, dtype=np.int8)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, window: int = WINDOW, capitals: bool = True) -> DataFrame:
+    """key columns, hash, at (place of the first word), words, holes, form of each window, each hash of a text once.
+
+    chosen: a bitmap of hashes to keep. capitals: whether texts without small letters have exact forms.
+    """
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
     bits = None if chosen is None else len(chosen) * 8
 
+    def groups(texts):
+        """Texts with about so many words together that arrays are worth their calls, and memory stays small."""
+        at, size = 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= 1 << 19:
+                yield at, texts[at : i + 1]
+                at, size = i + 1, 0
+        if at < len(texts):
+            yield at, texts[at:]
+
     def cut_up(batches):
         import numpy as np
 
         keep = None if chosen is None else np.unpackbits(np.frombuffer(chosen, dtype=np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            rows, hashes, slots = [], [], []
-            for i, t in enumerate(batch.column(text).to_pylist()):
-                codes, kinds, places, words = template(t)
-                h, good = windows(codes, kinds, window)
-                if keep is not None:
-                    good &= keep[h & (bits - 1)]
-                at = np.flatnonzero(good)
-                if not len(at):
-                    continue
-                _, first = np.unique(h[at], return_index=True)
-                for k in at[first].tolist():
-                    typed = [j for j in range(k, k + window) if kinds[j] != LITERAL]
-                    rows.append(i)
-                    hashes.append(int(h[k]))
-                    slots.append([words[j if places is None else int(places[j])].strip(_TRIM).lower() for j in typed])
+            rows, out = [], [[] for _ in range(5)]
+            for first, texts in groups(batch.column(text).to_pylist()):
+                made = [template(t) for t in texts]
+                sizes = [len(m[0]) for m in made]
+                of, begin = np.repeat(np.arange(len(texts)), sizes), np.cumsum([0, *sizes])
+                at, h, holes, form = windows(*(np.concatenate([m[k] for m in made]) for k in range(3)), of, window)
+                good = np.ones(len(at), dtype=bool) if keep is None else keep[h & (bits - 1)]
+                if not capitals:
+                    good &= (form != EXACT) | ~np.fromiter(((t or "").isupper() for t in texts), dtype=bool, count=len(texts))[of[at]]
+                good = np.flatnonzero(good)
+                good = good[np.lexsort((at[good], h[good], of[at[good]]))]
+                if len(good):
+                    new = np.ones(len(good), dtype=bool)
+                    new[1:] = (h[good][1:] != h[good][:-1]) | (of[at[good]][1:] != of[at[good]][:-1])
+                    good = good[new]
+                for j in good.tolist():
+                    i = int(of[at[j]])
+                    place = int(at[j] - begin[i])
+                    rows.append(first + i)
+                    for column, value in zip(out, (int(h[j]), place, [w.strip(_TRIM).lower() for w in made[i][3][place : place + window]], int(holes[j]), int(form[j])), strict=True):
+                        column.append(value)
             of = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in key), pa.array(hashes, pa.int64()), pa.array(slots, pa.list_(pa.string()))], [*key, "hash", "slots"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in key), *map(pa.array, out, kinds)], [*key, "hash", "at", "words", "holes", "form"])
 
-    return df.select(*key, text).mapInArrow(cut_up, f"{types}, hash long, slots array<string>")
+    return df.select(*key, text).mapInArrow(cut_up, f"{types}, hash long, at int, words array<string>, holes int, form int")
 
 
 def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -146,38 +197,73 @@ def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return out.astype("<i8").tobytes()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, consistency: float = CONSISTENCY, capitals: bool = False) -> DataFrame:
     """A row for each document and item that it holds: doc_id, text_hash, item_id, n_windows, coverage, consistency, kind.
 
     kind is "exact" if all placeholders have the item's own values, else "reparameterised". Null and short texts have no
     windows, so they neither contaminate nor are contaminated. Rows are told apart by doc_id (null too) and a hash of the
-    text, so repeated rows count once; other columns are ignored.
+    text, so repeated rows count once; other columns are ignored. Copies in other case count; capitals: also those in texts
+    that are all in capitals.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    known = cut(template_windows(items, ["item_id"], "text").dropDuplicates(["item_id", "hash"]).withColumnRenamed("slots", "item_slots"))
-    sizes = known.groupBy(F.col("item_id").alias("__item")).agg(F.count("*").alias("n_of"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_hash"), F.col(item_text).alias("text")).distinct()
+    known = template_windows(items, ["item_id", "item_hash"], "text")
+    item = Window.partitionBy("item_id", "item_hash")
+    # windows that have a typed form count; their exact forms match too
+    known = known.withColumn("typed", F.array_distinct(F.collect_list(F.when(F.col("form") == TYPED, F.col("at"))).over(item))).where(F.array_contains("typed", F.col("at")))
+    known = cut(known.select("item_id", "item_hash", "hash", F.col("at").alias("place"), F.col("words").alias("of"), "holes", F.size("typed").alias("n")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    found = template_windows(rows, ["doc_id", "text_hash"], "text", bitmap(known))
+    found = template_windows(rows, ["doc_id", "text_hash"], "text", bitmap(known), capitals=capitals).select("doc_id", "text_hash", "hash", "at", F.col("words").alias("is"))
     met = found.join(small(known), "hash")
     pair = ["doc_id", "text_hash", "item_id"]
-    # by pair: which windows it has, and how often each value of the item meets each value of the document
-    slots = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("of"), x["slots"].alias("is")))
-    met = met.groupBy(*pair).agg(F.count_distinct("hash").alias("n_windows"), F.flatten(F.collect_list(slots)).alias("slots"))
-    of = F.broadcast(sizes) if known.count() <= BROADCAST_ROWS else sizes
-    met = met.join(of, F.col("item_id").eqNullSafe(F.col("__item"))).withColumn("coverage", F.col("n_windows") / F.col("n_of")).where(F.col("coverage") >= coverage)
-    return met.withColumn("consistency", agreement(F.col("slots"))).where(F.col("consistency") >= consistency).select(
-        *pair, "n_windows", "coverage", "consistency", F.when(F.forall("slots", lambda x: x["of"] == x["is"]), "exact").otherwise("reparameterised").alias("kind")
-    )
+    met = met.groupBy(*pair).agg(F.collect_set(F.struct("item_hash", "at", "place", "of", "is", "holes", "n")).alias("hits"))
+    types = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in pair)
 
+    def judged(batches):
+        for batch in batches:
+            rows, out = [], []
+            for i, hits in enumerate(batch.column("hits").to_pylist()):
+                best = judge(hits, coverage, consistency)
+                if best:
+                    rows.append(i)
+                    out.append(best)
+            of = pa.array(rows, pa.int64())
+            made = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in pair), *made], [*pair, "n_windows", "coverage", "consistency", "kind"])
 
-def agreement(slots):
-    """Share of (of, is) pairs that have the most frequent `is` of their `of`; 1 without pairs.
+    return met.mapInArrow(judged, f"{types}, n_windows long, coverage double, consistency double, kind string")
 
-    A copy has at most WINDOW placeholders for each of its item's windows, so the arrays are short.
-    """
-    values = F.array_distinct(F.transform(slots, lambda x: x["of"]))
-    most = lambda v: F.array_max(F.transform(F.array_distinct(F.filter(slots, lambda x: x["of"] == v)), lambda p: F.size(F.filter(slots, lambda x: (x["of"] == p["of"]) & (x["is"] == p["is"])))))
-    return F.when(F.size(slots) == 0, 1.0).otherwise(F.aggregate(F.transform(values, most), F.lit(0), lambda a, x: a + x) / F.size(slots))
+
+def judge(hits: list[dict], coverage: float, consistency: float) -> tuple[int, float, float, str] | None:
+    """(n_windows, coverage, consistency, kind) of the best copy that a document has of an item, or None."""
+    texts: dict = {}
+    for x in hits:
+        texts.setdefault(x["item_hash"], []).append(x)
+    found = [r for of in texts.values() for r in copies(of, coverage, consistency)]
+    return max(found, key=lambda r: (r[1], r[2], r[3] == "exact"), default=None)
+
+
+def copies(hits: list[dict], coverage: float, consistency: float):
+    """Measures of a document's copies of one text."""
+    first: dict[int, dict] = {}
+    for x in sorted(hits, key=lambda x: (x["at"], x["holes"].bit_count())):
+        first.setdefault(x["place"], x)
+    measures = measured(first, hits[0]["n"])
+    if measures[1] >= coverage and measures[2] >= consistency:
+        yield measures
+
+
+def measured(run: dict[int, dict], n: int) -> tuple[int, float, float, str]:
+    """Measures of the windows of a run, by their places in the item."""
+    slots = [(of, x["is"][k]) for x in run.values() for k, of in enumerate(x["of"]) if x["holes"] >> k & 1]
+    return len(run), len(run) / n, agreement(slots), "exact" if all(a == b for a, b in slots) else "reparameterised"
+
+
+def agreement(slots: list[tuple[str, str]]) -> float:
+    """Share of (of, is) pairs that have the most frequent `is` of their `of`; 1 without pairs."""
+    most: dict[str, int] = {}
+    for (of, _), count in Counter(slots).items():
+        most[of] = max(most.get(of, 0), count)
+    return sum(most.values()) / len(slots) if slots else 1.0
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -186,6 +272,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return docs.join(small(found), docs[doc_id].eqNullSafe(F.col("__gone")) & (F.xxhash64(docs[text]) == F.col("__hash")), "left_anti")
 
 
-def digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id and measures of every document that holds an item."""
-    return contaminated(docs, benchmark).drop("text_hash")
+    return contaminated(docs, benchmark, **options).drop("text_hash")

@@ -52,7 +52,7 @@ def op9_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.digests(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), capitals=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

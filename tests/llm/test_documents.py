@@ -209,6 +209,15 @@ def test_reparameterised_questions_and_slots(spark):
     assert sorted(r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 3, 5]
 
 
+def test_names_at_sentence_starts_and_copies_in_other_case(spark):
+    item = "Tom has 12 apples. Tom gives 5 apples to Mary. Tom then buys 7 more apples at the shop."
+    named = "Yesterday Tom bought 12 apples and 5 pears for Mary, and then Tom gave 12 apples back because Mary had been with Paul."
+    docs = spark.createDataFrame([(1, item.replace("Tom", "Anna")), (2, named.lower()), (3, named.upper()), (4, "Anna has 3 dogs. Paul gives 4 bones to Mary.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(8, item), (9, named)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.digests(docs, bench, capitals=True).collect()}
+    assert got == {(1, 8, "reparameterised"), (2, 9, "exact"), (3, 9, "exact")}
+
+
 # licenses
 
 
