@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, so a question and its copies
 have one template. A capitalised word that opens a sentence may be a name or not, so its windows have both forms, and the
 exact form in lower case finds verbatim copies in other case. Windows of five template words of all documents are joined by hash with those of the benchmark; a
 document that holds at least 0.8 of an item's windows is contaminated if the values in the placeholders agree, that is,
-if each value of the item stands for one value throughout the document's copy.
+if each value of the item stands for one value throughout the document's copy. All places of a window count, and a
+document is judged by its best copy.
 
 Windows that no benchmark item can have are dropped before the shuffle by a bitmap of fixed size, made of all the
 benchmark's windows; the join that follows is exact.
@@ -12,6 +13,8 @@ benchmark's windows; the join that follows is exact.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections import Counter
 
 import pyarrow as pa
@@ -134,7 +137,7 @@ def windows(exact, kinds, opens, of, window: int = WINDOW):
 
 
 def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, window: int = WINDOW, capitals: bool = True) -> DataFrame:
-    """key columns, hash, at (place of the first word), words, holes, form of each window, each hash of a text once.
+    """key columns, hash, at (place of the first word), words, holes, form of each window at each of its places.
 
     chosen: a bitmap of hashes to keep. capitals: whether texts without small letters have exact forms.
     """
@@ -167,11 +170,6 @@ def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, wind
                 if not capitals:
                     good &= (form != EXACT) | ~np.fromiter(((t or "").isupper() for t in texts), dtype=bool, count=len(texts))[of[at]]
                 good = np.flatnonzero(good)
-                good = good[np.lexsort((at[good], h[good], of[at[good]]))]
-                if len(good):
-                    new = np.ones(len(good), dtype=bool)
-                    new[1:] = (h[good][1:] != h[good][:-1]) | (of[at[good]][1:] != of[at[good]][:-1])
-                    good = good[new]
                 for j in good.tolist():
                     i = int(of[at[j]])
                     place = int(at[j] - begin[i])
@@ -239,17 +237,47 @@ def judge(hits: list[dict], coverage: float, consistency: float) -> tuple[int, f
     for x in hits:
         texts.setdefault(x["item_hash"], []).append(x)
     found = [r for of in texts.values() for r in copies(of, coverage, consistency)]
-    return max(found, key=lambda r: (r[1], r[2], r[3] == "exact"), default=None)
+    return max(found, key=lambda r: (r[3] == "exact", r[1], r[2]), default=None)
 
 
 def copies(hits: list[dict], coverage: float, consistency: float):
-    """Measures of a document's copies of one text."""
+    """Measures of a document's copies of one text.
+
+    Windows of one distance between the places in document and item are a run. Each run is filled up by the nearest windows
+    that it lacks and agrees with, so that copies with words put in or left out are whole. The first places of all windows
+    are tried too.
+    """
+    n = hits[0]["n"]
+    runs: dict[int, dict[int, dict]] = {}
     first: dict[int, dict] = {}
+    places: dict[int, list[int]] = {}
     for x in sorted(hits, key=lambda x: (x["at"], x["holes"].bit_count())):
+        if x["place"] not in runs.setdefault(x["at"] - x["place"], {}):
+            runs[x["at"] - x["place"]][x["place"]] = x
+            places.setdefault(x["place"], []).append(x["at"])
         first.setdefault(x["place"], x)
-    measures = measured(first, hits[0]["n"])
-    if measures[1] >= coverage and measures[2] >= consistency:
-        yield measures
+    whole = measured(first, n)
+    if whole[1] < coverage:
+        return  # nor has any run more
+    if whole[2] >= consistency:
+        yield whole
+    for offset, run in runs.items():
+        run, near = dict(run), []
+        for place in places.keys() - run.keys():
+            i = bisect.bisect(places[place], offset + place)
+            at = min(places[place][max(i - 1, 0) : i + 1], key=lambda at: abs(at - place - offset))
+            near.append((abs(at - place - offset), at - place, place))
+        if not near or len(run) / n >= coverage:
+            measures = measured(run, n)
+            if measures[1] >= coverage and measures[2] >= consistency:
+                yield measures
+        for _, group in itertools.groupby(sorted(near), key=lambda x: x[:2]):
+            more = run | {place: runs[other][place] for _, other, place in group}
+            measures = measured(more, n)
+            if measures[2] >= consistency:
+                run = more
+                if measures[1] >= coverage:
+                    yield measures
 
 
 def measured(run: dict[int, dict], n: int) -> tuple[int, float, float, str]:

@@ -218,6 +218,15 @@ def test_names_at_sentence_starts_and_copies_in_other_case(spark):
     assert got == {(1, 8, "reparameterised"), (2, 9, "exact"), (3, 9, "exact")}
 
 
+def test_copies_after_inconsistent_passages_and_with_words_put_in(spark):
+    item = "Yesterday Tom bought 12 apples and 5 pears for Mary, and then Tom gave 12 apples back because 5 pears were quite enough for the week."
+    mixed = "Yesterday Anna bought 30 apples and 8 pears for Paul, and then Karl gave 99 apples back because 7 pears were quite enough for the week."
+    put_in = item.replace("because", "at once because")
+    docs = spark.createDataFrame([(1, f"{mixed} {item}"), (2, f"{mixed} {mixed}"), (3, f"{mixed} {put_in}"), (4, put_in)], "doc_id long, text string")
+    got = decontaminate.digests(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["kind"]) for r in got} == {(1, "exact"), (3, "exact"), (4, "exact")}
+
+
 # licenses
 
 
