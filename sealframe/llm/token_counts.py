@@ -34,7 +34,7 @@ def write_flat(docs: DataFrame, tokenizer: str, chunks: str, separator: int, wid
 
         from sealframe.llm.tokens import encoder
 
-        ids_of, task, ordinal, out = encoder(tokenizer, chunks), TaskContext.get(), 0, None
+        ids_of, task, ordinal, out = encoder(tokenizer, chunks, plain=True), TaskContext.get(), 0, None
         fs, top = filesystem(path)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
         for batch in batches:

@@ -3,7 +3,8 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts: before a space that precedes a word
 ("leading_space", byte-level BPE) or at white space that it drops ("words", BPE with word ends). Ids of such chunks
 do not depend on their neighbours, so each worker encodes a chunk once and joins remembered ids; the result is that
-of encoding the whole text, which the tests compare. Tokenizers with another splitting rule take "whole".
+of encoding the whole text, which the tests compare. Texts that hold an added token, such as an end-of-text marker, are
+encoded whole. Tokenizers with another splitting rule take "whole".
 """
 
 from __future__ import annotations
@@ -60,15 +61,24 @@ class _Known(dict):
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the library does by default.
 
-    def __init__(self, path: str, chunks: str = "whole"):
+    plain: added tokens are not recognised in texts, so that their ids can't occur.
+    """
+
+    def __init__(self, path: str, chunks: str = "whole", plain: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = {} if plain else self.tokenizer.get_added_tokens_decoder()
+        self.library = Tokenizer.from_file(path)
+        #: Contents of added tokens: those that are looked for in the text, and those in the normalised text.
+        self.added = [x.content for x in added.values() if not x.normalized]
+        self.normalised = [self.normal(x.content) for x in added.values() if x.normalized]
+        # only chunks of texts without added tokens go there
         self.tokenizer.encode_special_tokens = True
         self.chunks, self.fold = chunks, chunks == "words"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
@@ -76,6 +86,18 @@ class Encoder:
         #: By word: the ids of the word after a space, or of the word at a line's start with its line end.
         self.spaced = _Known(lambda x: self.word(x, " "), self.known.__getitem__)
 
+    def normal(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def marked(self, text: str) -> bool:
+        """Whether an added token is in the text."""
+        if any(x in text for x in self.added):
+            return True
+        if not self.normalised:
+            return False
+        text = self.normal(text)
+        return any(x in text for x in self.normalised)
+
     def direct(self, text: str) -> bytes:
         (encoded,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return array("I", encoded.ids).tobytes()
@@ -92,6 +114,9 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.marked(text):
+            (encoded,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+            return array("I", encoded.ids).tobytes()
         if self.chunks == "whole":
             return self.direct(text)
         if any(x in text for x in UNUSUAL):
@@ -104,11 +129,11 @@ class Encoder:
         return (self.known[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str, bool], Encoder] = {}
 
 
-def encoder(path: str, chunks: str) -> Encoder:
+def encoder(path: str, chunks: str, plain: bool = False) -> Encoder:
     """The worker's own encoder for this file."""
-    if (path, chunks) not in _encoders:
-        _encoders[path, chunks] = Encoder(path, chunks)
-    return _encoders[path, chunks]
+    if (path, chunks, plain) not in _encoders:
+        _encoders[path, chunks, plain] = Encoder(path, chunks, plain)
+    return _encoders[path, chunks, plain]

@@ -43,6 +43,15 @@ def test_forgetting_changes_nothing(monkeypatch):
             assert np.frombuffer(own.encode(text), "<u4").tolist() == whole(text)
 
 
+def test_added_tokens_in_texts():
+    texts = ["one <|endoftext|> two", "<|startoftext|>The end<|endoftext|>", "<|ENDOFTEXT|> odd <|endoftext|", "x<|endoftext|>\n\nThe cat", "<|STARTOFTEXT|> the cat", "plain"]
+    for chunks, path in FILES.items():
+        own, library = tokens.Encoder(path, chunks), Tokenizer.from_file(path)
+        for text in texts:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, (chunks, text)
+            assert np.frombuffer(tokens.Encoder(path, chunks, plain=True).encode(text), "<u4").tolist() == plain(chunks)(text)
+
+
 def pieces_of(rows, ids_of, capacity=2048):
     out = Counter()
     for name, text in rows:
