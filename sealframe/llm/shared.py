@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 #: so that this is some tens of MB; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of the rows that a worker turns into Python objects at a time.
+SLICE = 4 << 20
+
 #: Characters that separate words, as a regular expression class for the JVM: space and \t to \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; unset, a local one in local mode, else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if found is None:
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-llm-")
     if not current.isDefined():
         sc.setCheckpointDir(found)
@@ -54,6 +59,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def parts(df: DataFrame, size: int = 256 << 20) -> int:
+    """Partitions of about `size` bytes by Spark's own estimate of df, no fewer than spark.sql.shuffle.partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    # where Spark knows nothing, its estimate is beyond any table
+    return least if estimate >= 1 << 60 else max(least, -(-estimate // size))
+
+
 def opaque(column: Column) -> Column:
     """The column, computed where it stands: Catalyst doesn't push a filter on it further down.
 
@@ -63,7 +76,15 @@ def opaque(column: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, column)
 
 
+def slices(batches, size: int = SLICE):
+    """Arrow batches cut into runs of rows of about `size` bytes, one row at least, so that what Python makes of them stays small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_rows(it, *columns):
     """Arrow batches as tuples of Python lists, one list for each of the columns."""
-    for batch in it:
+    for batch in slices(it):
         yield tuple(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns)

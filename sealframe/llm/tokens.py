@@ -24,8 +24,10 @@ CHUNKS = {
     "words": re.compile(f"[^{WHITE}]+"),
 }
 
-#: Chunks in each of the two generations that a worker remembers, which bounds its memory. Longer chunks are encoded anew.
-REMEMBERED, LONG_CHUNK = 400_000, 64
+#: Bytes, about, that a worker's memory of chunks takes at most, and that of those which are rare. Longer chunks are encoded anew.
+REMEMBERED, ASIDE, LONG_CHUNK = 80 << 20, 4 << 20, 64
+#: Bytes of an entry beside its characters and ids: objects' heads and the dictionary's slot.
+ENTRY = 160
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,27 +38,28 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Chunk to ids; asks the tokenizer for what is missing and forgets what has not been used for long."""
+    """Chunk to ids; asks the tokenizer for what is missing, and forgets all when it is full."""
 
-    def __init__(self, encode, marks, fold: bool = False):
+    def __init__(self, encode, marks, fold: bool = False, limit: int | None = None):
         super().__init__()
-        self.encode, self.marks, self.fold, self.old = encode, marks, fold, {}
+        self.encode, self.marks, self.fold, self.held = encode, marks, fold, 0
+        self.limit = REMEMBERED if limit is None else limit
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            core = chunk.rstrip(MARKS)
-            if len(core) < len(chunk) and core[-1:].isalpha():
-                ids = self[core] + self.marks(chunk[len(core) :])
-            elif self.fold and chunk.isascii() and (low := chunk.lower()) != chunk:
-                ids = self[low]
-            else:
-                ids = self.encode(chunk)
+        core = chunk.rstrip(MARKS)
+        if len(core) < len(chunk) and core[-1:].isalpha():
+            ids = self[core] + self.marks(chunk[len(core) :])
+        elif self.fold and chunk.isascii() and (low := chunk.lower()) != chunk:
+            ids = self[low]
+        else:
+            ids = self.encode(chunk)
         if len(chunk) <= LONG_CHUNK:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
+            size = ENTRY + len(ids) + len(chunk) * (1 if chunk.isascii() else 4)
+            if self.held + size > self.limit:
                 self.clear()
+                self.held = 0
             self[chunk] = ids
+            self.held += size
         return ids
 
 
@@ -74,7 +77,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = {} if plain else self.tokenizer.get_added_tokens_decoder()
-        self.library = Tokenizer.from_file(path)
         #: Contents of added tokens: those that are looked for in the text, and those in the normalised text.
         self.added = [x.content for x in added.values() if not x.normalized]
         self.normalised = [self.normal(x.content) for x in added.values() if x.normalized]
@@ -82,7 +84,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.chunks, self.fold = chunks, chunks == "words"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known = _Known(self.word, self.direct, self.fold)
+        self.known = _Known(self.word, self.direct, self.fold, ASIDE if chunks == "leading_space" else None)
         #: By word: the ids of the word after a space, or of the word at a line's start with its line end.
         self.spaced = _Known(lambda x: self.word(x, " "), self.known.__getitem__)
 
@@ -115,8 +117,11 @@ class Encoder:
         if not text:
             return b""
         if self.marked(text):
-            (encoded,) = self.library.encode_batch_fast([text], add_special_tokens=False)
-            return array("I", encoded.ids).tobytes()
+            self.tokenizer.encode_special_tokens = False
+            try:
+                return self.direct(text)
+            finally:
+                self.tokenizer.encode_special_tokens = True
         if self.chunks == "whole":
             return self.direct(text)
         if any(x in text for x in UNUSUAL):
