@@ -1,15 +1,17 @@
 """Best-fit packing of documents into fixed-size sequences by bin completion.
 
 Only lengths decide how a sequence is filled, and there are at most `capacity` different ones. So the corpus is reduced
-to a histogram of piece lengths (bounded by the capacity, whatever the corpus' size), a branch-and-bound search over
-that histogram makes a plan of fillings with multiplicities, and each piece finds its place in the plan by its rank
+to a histogram of piece lengths (bounded by the capacity, whatever the corpus' size), a branch-and-bound search over the
+undominated fillings of that histogram makes a plan with multiplicities, and each piece finds its place in the plan by its rank
 among pieces of its length. Ranks come from counts by (length, group) and a window within a group, so a length that a
 third of all pieces has is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 from collections import Counter
 
 import pyarrow as pa
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 
 from sealframe.llm.shared import as_table, by_rows, cut
 
-#: Search effort: fillings tried for a largest piece, and steps of the search after the first descent. They bound the
-#: driver's time; all pieces are packed whatever they are.
-FILLINGS, STEPS = 6, 1_000
+#: Effort of the search: fillings looked at by the branch-and-bound, then rounds of rearrangement, if the bound isn't met
+#: before. It bounds the driver's time; all pieces are packed whatever it is.
+EFFORT = 20_000
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, chunks: str = "leading_space", capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -82,99 +84,182 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [(p, n) for fillings in room.values() for p, n in fillings.items()]
 
 
-def undominated(counts: dict[int, int], lengths: list[int], gap: int, waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Fillings of a gap that leave at most `waste` free, fullest first, then those of fewer and larger pieces.
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: of all ids, and by a threshold of size, the better of the two.
 
-    A filling that fits exactly with one piece dominates all others. Of fillings with the same pieces but one, that
-    with the larger piece dominates. A branch ends where the pieces left can't reach the required sum.
+    For a threshold, pieces that leave less than it free stand alone, others over half the capacity each need a sequence,
+    and what pieces of at least the threshold exceed the room beside those needs further ones.
     """
-    if counts.get(gap):
-        return [(gap,)]
-    found: dict[tuple[int, ...], int] = {}
-    budget = [40 * limit + 2 * len(lengths)]
-
-    def extend(chosen: tuple[int, ...], free: int, at: int) -> None:
-        fits = False
-        for i in range(at, len(lengths)):
+    best = -(-sum(k * v for k, v in counts.items()) // capacity)
+    small = sorted((k for k, v in counts.items() if v and 2 * k <= capacity), reverse=True)
+    big = sorted(k for k, v in counts.items() if v and 2 * k > capacity)
+    most = sum(counts[k] for k in big)
+    room = sum(counts[k] * (capacity - k) for k in big)  # beside the pieces that leave the threshold free
+    rest = 0
+    best = max(best, most)
+    for threshold in reversed(small):
+        while big and capacity - big[-1] < threshold:
+            room -= counts[big[-1]] * (capacity - big[-1])
+            big.pop()
+        rest = sum(k * counts[k] for k in small if k >= threshold) if not rest else rest - below
+        best = max(best, most + max(0, -(-(rest - room) // capacity)))
+        below = threshold * counts[threshold]
+    return best
+
+
+def up_to(bits: int, n: int) -> int:
+    """The bits, each also set in the n places above it."""
+    done = 0
+    while done < n:
+        step = min(done + 1, n - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], slack: int, have: dict[int, int], lengths: int) -> bool:
+    """Whether a piece that is left out could take the place of one smaller piece of the filling or of several pieces.
+
+    Then the filling with that piece is no worse: what it sets free fits wherever the piece would have been. lengths: the
+    lengths that there are, as bits.
+    """
+    one = many = 0  # bits: sums of one piece, of two or more
+    for x in filling:
+        many |= (many | one) << x
+        one |= 1 << x
+    better = up_to(many, slack) | (up_to(one, slack - 1) << 1 if slack else 0)
+    better &= lengths
+    while better:
+        x = better.bit_length() - 1
+        if have[x] > filling.count(x):
+            return True
+        better ^= 1 << x
+    return False
+
+
+def undominated(have: dict[int, int], gap: int, waste: int):
+    """(free, filling): all undominated fillings of a gap that leave at most `waste` free, fullest first, large pieces first.
+
+    Sets of reachable sums, as bits, keep every branch on the way to a filling.
+    """
+    lengths = sorted((x for x, n in have.items() if n and x <= gap), reverse=True)
+    reach, inside, there = [1] * (len(lengths) + 1), (2 << gap) - 1, sum(1 << x for x in lengths)
+    for i in range(len(lengths) - 1, -1, -1):
+        sums, left, part = reach[i + 1], min(have[lengths[i]], gap // lengths[i]), 1
+        while left:
+            part = min(part, left)
+            sums |= sums << part * lengths[i] & inside
+            left, part = left - part, 2 * part
+        reach[i] = sums
+
+    def exact(i: int, rest: int):
+        if not rest:
+            yield ()
+            return
+        while i < len(lengths) and reach[i] >> rest & 1:
             x = lengths[i]
-            if x > free:
-                continue
-            if budget[0] <= 0 or len(found) >= 8 * limit:
-                return
-            if counts[x] - chosen.count(x) <= 0:
-                continue
-            fits = True
-            budget[0] -= 1
-            rest = free - x
-            if rest == 0 or rest in counts and counts[rest] - chosen.count(rest) - (rest == x) > 0 and rest <= x:
-                found[chosen + (x,) + ((rest,) if rest else ())] = 0
-                if len([1 for v in found.values() if v == 0]) >= limit:
-                    budget[0] = 0
-                    return
-                continue
-            if len(chosen) < 3:
-                extend((*chosen, x), rest, i)
-            elif rest <= waste:
-                found.setdefault((*chosen, x), rest)
-        if not fits and free <= waste:
-            found.setdefault(chosen, free)
-
-    extend((), gap, 0)
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-y for y in x[0]]))[:limit]]
-
-
-def bin_completion(counts: dict[int, int], capacity: int, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+            for k in range(min(have[x], rest // x), 0, -1):
+                if reach[i + 1] >> rest - k * x & 1:
+                    for more in exact(i + 1, rest - k * x):
+                        yield (x,) * k + more
+            i += 1
+
+    for free in range(min(waste, gap) + 1):
+        if reach[0] >> gap - free & 1:
+            yield from ((free, f) for f in exact(0, gap - free) if not dominated(f, free, have, there))
+
+
+def without(have: dict[int, int], filling: tuple[int, ...], times: int = 1) -> dict[int, int]:
+    left = dict(have)
+    for x in filling:
+        left[x] -= times
+    return {x: n for x, n in left.items() if n}
+
+
+def bin_completion(counts: dict[int, int], capacity: int, effort: int = EFFORT) -> list[tuple[tuple[int, ...], int]]:
     """A plan of fillings: (lengths, times), of as few sequences as the search finds.
 
     The incumbent is best-fit decreasing. A node takes the largest length left and branches on the undominated
-    fillings around it, each used as often as the counts allow. The bound on a node is the sequences so far plus the
-    pieces left divided by the capacity; waste beyond (incumbent - 1) * capacity - pieces prunes. The search ends when
-    the incumbent meets the lower bound of the whole histogram or the steps are used up.
+    fillings around it, each as often as the counts allow, half as often, and so on down to once. What free space a plan
+    with one sequence less may have prunes fillings, and the sum of what is left prunes nodes. Once `effort` fillings
+    have been looked at without an end, `effort` rounds complete the sequences of small parts of the incumbent anew.
+    Both end as soon as the incumbent meets the lower bound, as it mostly does before the search begins.
     """
     counts = {k: v for k, v in counts.items() if v}
-    total = sum(k * v for k, v in counts.items())
-    # two pieces over half the capacity never share a sequence
-    bound = max(math.ceil(total / capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+    total, bound = sum(k * v for k, v in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     size = sum(n for _, n in best)
-    left = [steps + len(counts)]
-
-    def descend(have: dict[int, int], plan: list, used: int, waste: int) -> None:
-        nonlocal best, size
-        trail: list[tuple[dict, list, int, int, list]] = []
-        while True:
-            lengths = sorted((k for k, v in have.items() if v), reverse=True)
-            todo = sum(k * have[k] for k in lengths)
-            if not lengths:
-                if used < size:
-                    best, size = list(plan), used
-            elif used + math.ceil(todo / capacity) < size and waste >= 0 and left[0] > 0:
-                left[0] -= 1
-                big = lengths[0]
-                rest = dict(have)
-                rest[big] -= 1
-                options = undominated(rest, lengths, capacity - big, waste)
-                trail.append((have, plan, used, waste, options[::-1]))
-            while trail and not trail[-1][4]:
-                trail.pop()
-            if not trail or size <= bound or left[0] <= 0:
-                return
-            have, plan, used, waste, options = trail[-1]
-            filling = options.pop()
-            big = max(k for k, v in have.items() if v)
-            each = Counter((big, *filling))
-            times = min(have[k] // n for k, n in each.items())
-            have = have | {k: have[k] - n * times for k, n in each.items()}
-            plan = [*plan, ((big, *filling), times)]
-            used += times
-            waste -= times * (capacity - big - sum(filling))
-
-    if size > bound:
-        descend(dict(counts), [], 0, (size - 1) * capacity - total)
-    return best
 
-
-def place(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> DataFrame:
+    def branches(have: dict[int, int], wasted: int):
+        big = max(have)
+        for free, filling in undominated(without(have, (big,)), capacity - big, (size - 1) * capacity - total - wasted):
+            whole = (big, *filling)
+            times = min(have[k] // n for k, n in Counter(whole).items())
+            while times:
+                yield free, whole, times
+                times //= 2
+
+    stack = [(counts, [], 0, 0, branches(counts, 0))] if size > bound else []
+    tried = 0
+    while stack and tried < effort and size > bound:
+        have, plan, used, wasted, options = stack[-1]
+        found = next(options, None)
+        tried += 1
+        if found is None:
+            stack.pop()
+            continue
+        free, whole, times = found
+        left, used, wasted = without(have, whole, times), used + times, wasted + free * times
+        if used + -(-sum(k * v for k, v in left.items()) // capacity) >= size:
+            continue
+        if left:
+            stack.append((left, [*plan, (whole, times)], used, wasted, branches(left, wasted)))
+        else:
+            best, size = [*plan, (whole, times)], used
+    return rearranged(best, capacity, bound, effort) if stack and size > bound else best
+
+
+def rearranged(plan: list[tuple[tuple[int, ...], int]], capacity: int, bound: int, rounds: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan after rounds that complete a few of its sequences anew, with free space gathered in ever fewer of them.
+
+    A round takes one to six sequences, at least one with free space, and fills them again, largest length first, by one
+    of the fullest fillings. It is kept if it needs no more sequences and they are no more alike (sum of squares). What
+    occurs several times is changed as often.
+    """
+    dice, now = random.Random(0), Counter()
+    for whole, n in plan:
+        now[tuple(sorted(whole))] += n
+    size = now.total()
+    for _ in range(rounds):
+        if size <= bound:
+            break
+        every = list(now)
+        open_ = [x for x in every if sum(x) < capacity]
+        taken = Counter({dice.choice(open_), dice.choice(open_), *(dice.choice(every) for _ in range(dice.randint(1, 5)))})
+        if len(taken) == 1 and now[next(iter(taken))] > 1:
+            taken += taken
+        have, new = dict(Counter(x for whole, n in taken.items() for x in whole * n)), Counter()
+        while have:
+            big = max(have)
+            ways = undominated(without(have, (big,)), capacity - big, capacity)
+            free, filling = next(ways)
+            others = itertools.takewhile(lambda x, free=free: x[0] == free, ways) if free == 0 else ()
+            filling = dice.choice([filling, *(f for _, f in itertools.islice(others, 3))])
+            new[tuple(sorted((big, *filling)))] += 1
+            have = without(have, (big, *filling))
+        squares = [sum(sum(whole) ** 2 * n for whole, n in x.items()) for x in (new, taken)]
+        if new.total() < taken.total() or new.total() == taken.total() and squares[0] >= squares[1]:
+            times = min(now[whole] // n for whole, n in taken.items())
+            for whole, n in taken.items():
+                now[whole] -= n * times
+            for whole, n in new.items():
+                now[whole] += n * times
+            now = +now
+            size += (new.total() - taken.total()) * times
+    return list(now.items())
+
+
+def place(pieces: DataFrame, capacity: int = 2048, length: str = "length", effort: int = EFFORT) -> DataFrame:
     """pieces with sequence_id and offset (long): where each piece stands; sequences are gapless from offset 0.
 
     pieces: any columns and a whole-number `length` from 1 to capacity (others raise an error), stored so that reading
@@ -188,7 +273,7 @@ def place(pieces: DataFrame, capacity: int = 2048, length: str = "length") -> Da
     histogram = {r[0]: r[1] for r in pieces.groupBy(F.col(length).cast("long")).count().limit(capacity + 2).collect()}
     if any(k is None or not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    plan = bin_completion(histogram, capacity)
+    plan = bin_completion(histogram, capacity, effort)
     starts, rules, taken, sequences = [], [], Counter(), 0
     for pattern, times in plan:
         offset = 0

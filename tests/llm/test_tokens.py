@@ -1,6 +1,8 @@
 """Ids of remembered chunks against the tokenizer's own; packing, token files and counts against brute force."""
 
+import itertools
 import os
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,6 +116,54 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert sum(n for _, n in packing.bin_completion(have, 10)) == 4
 
 
+def test_undominated_fillings_against_all_subsets():
+    random.seed(3)
+    for _ in range(200):
+        gap, have = random.randint(3, 14), Counter(random.randint(1, 9) for _ in range(random.randint(1, 7)))
+        every = {f for n in range(len(list(have.elements())) + 1) for f in itertools.combinations(sorted(have.elements(), reverse=True), n) if sum(f) <= gap}
+
+        def beaten(f):
+            """Whether some of its pieces can give way to one left-out piece that is larger, or as large as several."""
+            left = have - Counter(f)
+            return any(sum(s) <= x <= sum(s) + gap - sum(f) and (len(s) > 1 or x > sum(s)) for x in left for n in range(1, len(f) + 1) for s in itertools.combinations(f, n))
+
+        waste = random.randint(0, gap)
+        got = list(packing.undominated(dict(have), gap, waste))
+        assert len(got) == len(set(got)) and [free for free, _ in got] == sorted(free for free, _ in got)
+        assert set(got) == {(gap - sum(f), f) for f in every if gap - sum(f) <= waste and not beaten(f)}
+
+
+def test_lower_bound_is_never_above_the_best_packing():
+    random.seed(4)
+    for _ in range(60):
+        lengths = [random.randint(1, 12) for _ in range(random.randint(1, 7))]
+
+        def least(rest, room):
+            if not rest:
+                return len(room)
+            tried = {r for r in room if r >= rest[0]}
+            ways = [least(rest[1:], (*room[: (i := room.index(r))], r - rest[0], *room[i + 1 :])) for r in tried]
+            return min([*ways, least(rest[1:], (*room, 12 - rest[0]))])
+
+        best = least(sorted(lengths, reverse=True), ())
+        assert packing.lower_bound(Counter(lengths), 12) <= best == sum(n for _, n in packing.bin_completion(Counter(lengths), 12))
+
+
+@pytest.mark.parametrize(("sequences", "capacity", "more"), [(20, 100, 0), (40, 1000, 1), (300, 2048, 1)])
+def test_planted_triples(sequences, capacity, more):
+    """Three pieces fill each sequence: best fit needs a sixth more sequences than that."""
+    random.seed(sequences)
+    lengths = []
+    for _ in range(sequences):
+        a = random.randint(int(capacity * 0.38), int(capacity * 0.49))
+        b = random.randint(capacity // 4, (capacity - a) // 2)
+        lengths += [a, b, capacity - a - b]
+    have = Counter(lengths)
+    plan = packing.bin_completion(have, capacity)
+    assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in plan), Counter()) == have
+    assert sequences <= sum(n for _, n in plan) <= sequences + more < sum(n for _, n in packing.best_fit(have, capacity))
+
+
 def test_lengths_out_of_range(spark):
     with pytest.raises(ValueError):
         packing.place(spark.createDataFrame([(0,)], "length long"), 10)
