@@ -7,21 +7,23 @@ import hashlib
 import hmac
 import json
 import os
+import random
 import re
 import threading
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from typing import Protocol
+from typing import Any, Protocol
 
 #: What a key service's key name and context look like.
 ARN = re.compile(r"arn:aws(-[^:]+)?:kms:.{1,2000}")
-CONTEXT = re.compile(r"[^\s=,]+=[^\s=,]+(,[^\s=,]+=[^\s=,]+)*")
-#: Error types and words of messages that tell a lost key from a passing failure.
-CRITICAL_TYPES = ("DisabledException", "AccessDeniedException", "NotFoundException", "KMSInvalidStateException", "InvalidKeyUsageException", "KeyUnavailableException", "PermissionError", "KeyError")
-TRANSIENT_TYPES = ("ThrottlingException", "LimitExceededException", "RequestLimitExceeded", "DependencyTimeoutException", "KMSInternalException", "TimeoutError", "ConnectionError")
-CRITICAL_WORDS = ("access denied", "disabled", "not found", "not authorized", "pending deletion", "invalid key")
-TRANSIENT_WORDS = ("throttl", "rate exceeded", "timeout", "timed out", "503", "service unavailable", "network", "connection")
+CONTEXT = re.compile(r"[a-zA-Z0-9_-]+=[^,=]+(,[a-zA-Z0-9_-]+=[^,=]+)*")
+#: Error types and words of messages that tell a lost key from a passing failure; the last two types of either
+#: kind are Python's own.
+CRITICAL_TYPES = ("DisabledException", "NotFoundException", "AccessDeniedException", "InvalidKeyUsageException", "KeyUnavailableException", "KMSInvalidStateException", "PermissionError", "KeyError")
+TRANSIENT_TYPES = ("ThrottlingException", "RequestLimitExceededException", "TooManyRequestsException", "ServiceUnavailableException", "InternalErrorException", "TimeoutError", "ConnectionError")
+CRITICAL_WORDS = ("DisabledException", "NotFoundException", "AccessDeniedException", "InvalidKeyUsageException", "KeyUnavailableException", "KMSInvalidStateException", "access denied", "unauthorized", "forbidden", "key not found", "invalid key", "key disabled", "key revoked")
+TRANSIENT_WORDS = ("ThrottlingException", "Rate exceeded", "RequestLimitExceeded", "TooManyRequestsException", "SlowDown", "ServiceUnavailableException", "InternalErrorException", "503 Service Unavailable", "Connection timeout", "Network error")
 
 
 class KeyProvider(Protocol):
@@ -96,22 +98,22 @@ def classify(error: BaseException) -> str:
         if any(n in types for n in names):
             return kind
     for kind, words in (("critical", CRITICAL_WORDS), ("transient", TRANSIENT_WORDS)):
-        if any(w in text for w in words):
+        if any(w.lower() in text for w in words):
             return kind
     return "transient"
 
 
 @dataclass
 class KeyCache:
-    """Plain keys by table, loaded on a miss and kept for `ttl` seconds (-1: for good)."""
+    """Keys by table, or their ids, loaded on a miss and kept for `ttl` seconds (-1: for good)."""
 
-    load: Callable[[str], bytes]
+    load: Callable[[str], Any]
     ttl: float = 86_400
     clock: Callable[[], float] = time.monotonic
-    _held: dict[str, tuple[float, bytes]] = field(default_factory=dict, repr=False)
+    _held: dict[str, tuple[float, Any]] = field(default_factory=dict, repr=False)
     _lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
-    def get(self, table: str) -> bytes:
+    def get(self, table: str) -> Any:
         with self._lock:
             held = self._held.get(table)
             if held and (self.ttl < 0 or self.clock() - held[0] < self.ttl):
@@ -173,6 +175,18 @@ class Health:
         since = self._lost(table)
         return since is None or self.clock() - since < self.grace
 
+    def watch(self, tables: Callable[[], Iterable[str]], interval: float = 3600.0, jitter: float = 300.0) -> threading.Event:
+        """Check all tables every interval, each round a random part of `jitter` later, until the returned event is set."""
+        stop = threading.Event()
+
+        def run() -> None:
+            while not stop.wait(interval + random.uniform(0, jitter)):
+                for table in tables():
+                    self.check(table)
+
+        threading.Thread(target=run, daemon=True).start()
+        return stop
+
 
 def fingerprint(key: bytes) -> str:
     """A name for a key that doesn't tell it."""

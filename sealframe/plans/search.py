@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sealframe.functions.predicates import Fields, predicate
@@ -69,3 +71,39 @@ def scroll(df: DataFrame, key: str, size: int):
             return
         yield rows
         last = rows[-1][key]
+
+
+@dataclass
+class Scroll:
+    """Pages of a frozen view (a table's live(version)), as DataFrames in order of a unique key that is never null.
+
+    Each page is a top-k after the last key of the page before, which alone is known here. A scroll ends keep_alive seconds
+    after it was last asked, or when it is cleared; asking it later is an error.
+    """
+
+    df: DataFrame
+    key: str
+    size: int
+    keep_alive: float = 60.0
+    clock: Callable[[], float] = time.monotonic
+    _last: Any = None
+    _until: float = field(init=False)
+
+    def __post_init__(self) -> None:
+        self._until = self.clock() + self.keep_alive
+
+    def page(self, path: str) -> DataFrame | None:
+        """Write the next page to a path and read it from there; None after the last page."""
+        if self.clock() >= self._until:
+            raise LookupError("the scroll has ended")
+        seen = Observation()
+        found = search(self.df, sort=[(self.key, "asc")], size=self.size, search_after=None if self._last is None else [self._last])
+        found.observe(seen, F.max(self.key).alias("last")).write.parquet(path)
+        self._until = self.clock() + self.keep_alive
+        if seen.get["last"] is None:
+            return None
+        self._last = seen.get["last"]
+        return self.df.sparkSession.read.schema(found.schema).parquet(path)
+
+    def clear(self) -> None:
+        self._until = float("-inf")

@@ -21,12 +21,17 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """A mounted folder that driver and executors share, from spark.checkpoint.dir; unset, a local one in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = _local.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="spark-sealframe-")
         _local[spark.sparkContext.applicationId] = found
-    return found.removeprefix("file://")
+    found = found.removeprefix("file://")
+    if "://" in found:
+        raise ValueError(f"encrypted tables need a mounted folder, not {found}")
+    return found
 
 
 _local: dict[str, str | None] = {}

@@ -60,6 +60,17 @@ def test_classes(error, kind):
     assert K.classify(error) == kind
 
 
+@pytest.mark.parametrize(("message", "kind"), [("Unauthorized", "critical"), ("request forbidden", "critical"), ("key revoked", "critical"), ("key not found in region", "critical"), ("shard not found", "transient"), ("SlowDown", "transient"), ("Connection timeout", "transient")])
+def test_classes_by_words(message, kind):
+    assert K.classify(RuntimeError(message)) == kind
+
+
+def test_contexts_with_spaces_in_values():
+    assert K.parse_context("team=a b,x=1") == {"team": "a b", "x": "1"}
+    with pytest.raises(ValueError):
+        K.parse_context("a.b=1")
+
+
 def test_derivation():
     master, salt = b"\x42" * 32, b"\x24" * 16
     first = hmac.new(hmac.new(salt, master, hashlib.sha384).digest(), b"file-encryption\x01", hashlib.sha384).digest()
