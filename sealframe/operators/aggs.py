@@ -32,16 +32,19 @@ def day(ts: str) -> Column:
     return F.date_trunc("day", F.col(ts)).cast("timestamp_ntz")
 
 
-def date_histogram(df: DataFrame, ts: str, calendar: str | None = None, fixed: str | None = None, metrics: Mapping[str, Column] | None = None, min_count: int = 1) -> DataFrame:
-    """key and doc_count by calendar unit or by fixed interval from the epoch; min_count 0 lists the empty days between too."""
+def date_histogram(df: DataFrame, ts: str, calendar: str | None = None, fixed: str | None = None, metrics: Mapping[str, Column] | None = None, min_count: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """key and doc_count by calendar unit or by fixed interval from the epoch, and by the columns `by`.
+
+    min_count 0 lists the empty buckets between the first and the last too, of each group.
+    """
     key = F.date_trunc(calendar, F.col(ts)).cast("timestamp_ntz") if calendar else F.window(ts, fixed).getField("start")
-    out = df.where(F.col(ts).isNotNull()).groupBy(key.alias("key")).agg(F.count("*").alias("doc_count"), *(m.alias(n) for n, m in (metrics or {}).items()))
+    out = df.where(F.col(ts).isNotNull()).groupBy(*by, key.alias("key")).agg(F.count("*").alias("doc_count"), *(m.alias(n) for n, m in (metrics or {}).items()))
     if min_count > 1:
         return out.where(F.col("doc_count") >= min_count)
     if min_count == 0:
         step = F.expr(f"interval 1 {calendar}" if calendar else f"interval {fixed}")
-        every = out.agg(F.min("key").alias("a"), F.max("key").alias("b")).select(F.explode(F.sequence("a", "b", step)).alias("key"))
-        out = every.join(out, "key", "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+        every = out.groupBy(*by).agg(F.min("key").alias("a"), F.max("key").alias("b")).select(*by, F.explode(F.sequence("a", "b", step)).alias("key"))
+        out = every.join(out, [*by, "key"], "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
     return out
 
 

@@ -9,13 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealframe.crypto.keys import KeyDirectory
+from sealframe.crypto.keys import DummyProvider, KeyDirectory
 from sealframe.crypto.parquet import enable, read_options, write_options
 from sealframe.functions import text
 from sealframe.operators import aggs
 from sealframe.plans import search as S
 from sealframe.session import scratch
-from sealframe.sources.table import Table, count_tables_for_key
+from sealframe.sources.table import Catalog, Table, count_tables_for_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +69,7 @@ _search("range_num", "orders", {"range": {"o_totalprice": {"gte": 100000, "lt":
 _search("range_date", "events", {"range": {"ts": {"gte": "2024-01-05", "lt": "2024-01-12T12:00:00Z"}}}, ["event_id", "ts"], "select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-12 12:00:00'")
 _search("bool_must", "events", {"bool": {"must": [{"term": {"event_type": "purchase"}}, {"range": {"value": {"gt": 50}}}]}}, ["event_id", "value"], "select event_id, value from events where event_type = 'purchase' and value > 50")
 _search("bool_should", "orders", {"bool": {"should": [{"term": {"o_orderstatus": "F"}}, {"range": {"o_totalprice": {"gt": 200000}}}, {"term": {"o_orderpriority": "1-URGENT"}}], "minimum_should_match": 2}}, ["o_orderkey"], "select o_orderkey from orders where (o_orderstatus = 'F')::int + (o_totalprice > 200000)::int + (o_orderpriority = '1-URGENT')::int >= 2")
-_search("bool_complex", "orders", {"bool": {"must": [{"range": {"o_totalprice": {"gte": 50000}}}], "should": [{"term": {"o_orderpriority": "1-URGENT"}}], "must_not": [{"term": {"o_orderstatus": "F"}}], "filter": [{"range": {"o_orderkey": {"lt": 5000}}}]}}, ["o_orderkey"], "select o_orderkey from orders where o_totalprice >= 50000 and not o_orderstatus = 'F' and o_orderkey < 5000")
+_search("bool_complex", "orders", {"bool": {"must": [{"range": {"o_totalprice": {"gte": 50000}}}], "should": [{"term": {"o_orderpriority": "1-URGENT"}}], "must_not": [{"term": {"o_orderstatus": "F"}}], "filter": [{"range": {"o_orderdate": {"gte": "1996-01-01"}}}]}}, ["o_orderkey"], "select o_orderkey from orders where o_totalprice >= 50000 and not o_orderstatus = 'F' and o_orderdate >= timestamp '1996-01-01'")
 _search("bool_must_not", "events", {"bool": {"must_not": [{"term": {"event_type": "click"}}]}}, ["event_id", "event_type"], "select event_id, event_type from events where event_type is distinct from 'click'")
 _search("bool_filter", "lineitem", {"bool": {"filter": [{"term": {"l_returnflag": "R"}}, {"range": {"l_quantity": {"lte": 10}}}]}}, ["l_orderkey", "l_linenumber"], "select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_quantity <= 10")
 
@@ -83,21 +83,33 @@ _search("query_string_phrase", "documents", {"query_string": {"query": '"under t
 _search("multi_match", "part", {"multi_match": {"query": "brand green steel", "fields": ["p_name", "p_brand", "p_type"]}}, ["p_partkey"], "select p_partkey from part where " + " or ".join(f"list_has_any(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> ''), ['brand', 'green', 'steel'])" for c in ("p_name", "p_brand", "p_type")), {"p_name": "standard", "p_brand": "standard", "p_type": "standard"})
 
 
-@_query(f"select doc_id, len({_TOKENS})::int as n, array_to_string({_TOKENS}[1:20], ' ') as head from documents")
+@_query(f"select doc_id, len({_TOKENS})::int as n, md5(array_to_string({_TOKENS}, ' ')) as tokens from documents")
 def analyze_standard(spark, sf_dir):
+    """All tokens of each text, as a digest."""
     t = text.standard(F.col("text"))
-    return sealed(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return sealed(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
-@_query("select doc_id, len(t)::int as n, array_to_string(t[1:20], ' ') as head from (select doc_id, list_filter(" + _TOKENS + ", lambda x: x not in (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")) as t from documents)")
+@_query("select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as tokens from (select doc_id, list_filter(" + _TOKENS + ", lambda x: x not in (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")) as t from documents)")
 def analyze_stop(spark, sf_dir):
     t = text.stop(F.col("text"))
-    return sealed(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return sealed(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
-@_query()
+_WORDS = ("license", "released", "under")
+_BM25 = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(_WORDS)))
+
+
+@_query(
+    f"with d as (select doc_id, {_TOKENS} as t from documents), c as (select doc_id, len(t) as dl, "
+    + ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) as tf{i}" for i, w in enumerate(_WORDS))
+    + " from d), s as (select count(*) as n, avg(dl) as avgdl, "
+    + ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(len(_WORDS)))
+    + f" from c) select doc_id, round({_BM25}, 6) as score from c, s where tf0 > 0 or tf1 > 0 or tf2 > 0 order by score desc, doc_id limit 20"
+)
 def match_bm25(spark, sf_dir):
-    return S.page(text.bm25(sealed(spark, sf_dir, "documents"), "text", "released under license", "doc_id"), [("score", "desc"), ("doc_id", "asc")], 20)
+    scores = text.bm25(sealed(spark, sf_dir, "documents"), "text", "released under license", "doc_id").withColumn("score", F.round("score", 6))
+    return S.page(scores, [("score", "desc"), ("doc_id", "asc")], 20)
 
 
 @_query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where cast(json_extract_string(props, '$.k') as bigint) = 7")
@@ -106,10 +118,11 @@ def term_path(spark, sf_dir):
     return S.where(df, {"term": {"props.k": 7}}).select("event_id", F.col("props.k").alias("k"))
 
 
-@_query("select vec_id from embeddings where list_contains(list_transform(embedding, lambda x: round(x, 1)::double), 0.1)")
+@_query("select p_partkey from part where list_contains(string_split(p_name, ' '), 'ring')")
 def term_array(spark, sf_dir):
-    df = sealed(spark, sf_dir, "embeddings").withColumn("tags", F.transform("embedding", lambda x: F.round(x, 1).cast("double")))
-    return S.where(df, {"term": {"tags": 0.1}}).select("vec_id")
+    """Any element of an array of words."""
+    df = sealed(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
+    return S.where(df, {"term": {"tags": "ring"}}).select("p_partkey")
 
 
 # order, pages, counts
@@ -147,11 +160,15 @@ def track_total_hits(spark, sf_dir):
     return few.agg(F.count("*").alias("n")).select(F.least("n", F.lit(100)).cast("long").alias("value"), F.when(F.col("n") > 100, "gte").otherwise("eq").alias("relation"))
 
 
-@_query("select o_orderkey from orders where o_orderkey <= 25")
+@_query("select o_orderkey, ((row_number() over (order by o_orderkey) - 1) // (select greatest(ceil(count(*) / 5), 1)::bigint from orders))::int as page from orders")
 def scroll_page(spark, sf_dir):
-    df = S.where(sealed(spark, sf_dir, "orders"), {"range": {"o_orderkey": {"lte": 25}}}).select("o_orderkey")
-    rows = [tuple(r) for batch in S.scroll(df, "o_orderkey", 5) for r in batch]  # 25 keys at most
-    return spark.createDataFrame(rows, "o_orderkey long")
+    """All orders in five pages of a frozen view, each written to a shared folder before the next is asked for."""
+    df, top = sealed(spark, sf_dir, "orders").select("o_orderkey"), os.path.join(scratch(spark), f"scroll-{uuid.uuid4().hex}")
+    scroll, out, n = S.Scroll(df, "o_orderkey", max(1, -(-df.count() // 5)), 3600), spark.createDataFrame([], "o_orderkey long, page int"), 0
+    while (page := scroll.page(f"{top}/{n}")) is not None:
+        out, n = out.unionByName(page.withColumn("page", F.lit(n))), n + 1
+    scroll.clear()
+    return out
 
 
 # aggregations
@@ -171,7 +188,7 @@ _agg("agg_date_hist_day", "events", lambda d: aggs.date_histogram(d, "ts", "day"
 _agg("agg_date_hist_12h", "events", lambda d: aggs.date_histogram(d, "ts", fixed="12 hours"), "select time_bucket(interval '12 hours', ts, timestamp '1970-01-01') as key, count(*) as doc_count from events group by 1")
 _agg("agg_date_hist_sum", "events", lambda d: _rounded(aggs.date_histogram(d, "ts", "day", metrics={"total": F.sum("value")}), "total"), "select date_trunc('day', ts)::timestamp as key, count(*) as doc_count, round(sum(value), 4) as total from events group by 1")
 _agg("agg_date_hist_min_count", "events", lambda d: aggs.date_histogram(d, "ts", "day", min_count=300), "select date_trunc('day', ts)::timestamp as key, count(*) as doc_count from events group by 1 having count(*) >= 300")
-_agg("agg_date_hist_gapfill", "events", lambda d: aggs.date_histogram(d.where("user_id = 3"), "ts", "day", min_count=0), "with c as (select date_trunc('day', ts)::timestamp as key, count(*) as n from events where user_id = 3 group by 1) select k as key, coalesce(n, 0) as doc_count from (select unnest(generate_series((select min(key) from c), (select max(key) from c), interval 1 day)) as k) left join c on k = key")
+_agg("agg_date_hist_gapfill", "events", lambda d: aggs.date_histogram(d, "ts", "day", min_count=0, by=["user_id"]), "with c as (select user_id, date_trunc('day', ts)::timestamp as key, count(*) as n from events group by 1, 2), e as (select user_id, unnest(generate_series(min(key), max(key), interval 1 day)) as key from c group by 1) select user_id, key, coalesce(n, 0) as doc_count from e left join c using (user_id, key)")
 _agg("agg_range", "part", lambda d: aggs.ranges(d, "p_retailprice", [("low", None, 1000), ("mid", 1000, 1500), ("high", 1500, None), ("none", 1e9, None)]), "select 'low' as bucket, count(*) filter (p_retailprice < 1000) as doc_count from part union all select 'mid', count(*) filter (p_retailprice >= 1000 and p_retailprice < 1500) from part union all select 'high', count(*) filter (p_retailprice >= 1500) from part union all select 'none', 0")
 _agg("agg_range_keyed", "customer", lambda d: aggs.ranges(d, "c_acctbal", [("debt", None, 0), ("small", 0, 5000), ("positive", 0, None)]), "select 'debt' as bucket, count(*) filter (c_acctbal < 0) as doc_count from customer union all select 'small', count(*) filter (c_acctbal >= 0 and c_acctbal < 5000) from customer union all select 'positive', count(*) filter (c_acctbal >= 0) from customer")
 _agg("agg_date_range", "lineitem", lambda d: aggs.ranges(d, "l_shipdate", [("q1_1995", "1995-01-01", "1995-04-01"), ("since_1997", "1997-01-01", None)]), "select 'q1_1995' as bucket, count(*) filter (l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '1995-04-01') as doc_count from lineitem union all select 'since_1997', count(*) filter (l_shipdate >= timestamp '1997-01-01') from lineitem")
@@ -262,24 +279,93 @@ def reindex_copy(spark, sf_dir):
     return table.reindex(os.path.join(scratch(spark), f"supplier-{uuid.uuid4().hex}")).live().select("s_suppkey", "s_name")
 
 
+def _catalog(spark: SparkSession) -> Catalog:
+    keys, _ = _key(spark)
+    return Catalog(spark, os.path.join(scratch(spark), f"catalog-{uuid.uuid4().hex}"), KeyDirectory(keys.path, {"dummy": DummyProvider(), "aws-kms": DummyProvider()}))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Catalog:
+    """A catalog of orders, changed by rule in two further batches, and of events as they are."""
+    catalog, orders = _catalog(spark), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    table = catalog.create("orders", {"shards": 2})
+    table.load(orders, "o_orderkey")
+    table.update(orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("_id"), (F.col("o_totalprice") + 1).alias("o_totalprice")))
+    table.delete(orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("_id")), refresh=True)
+    catalog.create("events", {"key_arn": "arn:aws:kms:r:1:key/a"}).load(spark.read.parquet(f"{sf_dir}/events.parquet").drop("ts"), "event_id")
+    return catalog
+
+
 @_query("select 'nation' as _index, n_nationkey as key, n_name as name from nation union all select 'region', r_regionkey, r_name from region")
 def alias_search(spark, sf_dir):
-    a = sealed(spark, sf_dir, "nation").select(F.lit("nation").alias("_index"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    b = sealed(spark, sf_dir, "region").select(F.lit("region").alias("_index"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    return a.unionByName(b, allowMissingColumns=True)
+    catalog = _catalog(spark)
+    for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        catalog.create(name).load(df.select(F.col(key).alias("key"), F.col(f"{name[0]}_name").alias("name")), "key")
+    catalog.alias("places", ["nation", "region"])
+    return catalog.read("places").select("_index", "key", "name")
 
 
 @_query("select 2 as n")
 def count_for_key(spark, sf_dir):
-    """Tables of a key, over a small catalog: other key, other provider, plain store, and the context in another order."""
-    rows = [("a", "encrypted", "aws-kms", "arn:aws:kms:k1", "x=1,y=2"), ("b", "encrypted", "aws-kms", "arn:aws:kms:k1", "y=2,x=1"), ("c", "encrypted", "aws-kms", "arn:aws:kms:k2", "x=1,y=2"), ("d", "encrypted", "dummy", "arn:aws:kms:k1", "x=1,y=2"), ("e", "plain", "aws-kms", "arn:aws:kms:k1", "x=1,y=2"), ("f", "encrypted", "aws-kms", "arn:aws:kms:k1", "")]
-    return count_tables_for_key(spark.createDataFrame(rows, "table string, store string, provider string, key_arn string, context string"), "arn:aws:kms:k1", "aws-kms", "x=1,y=2")
+    """Tables of a key: others have another key, another provider, or no context; one has the context in another order."""
+    catalog = _catalog(spark)
+    for name, provider, arn, context in (("a", "aws-kms", "k1", "x=1,y=2"), ("b", "aws-kms", "k1", "y=2,x=1"), ("c", "aws-kms", "k2", "x=1,y=2"), ("d", "dummy", "k1", "x=1,y=2"), ("e", "aws-kms", "k1", "")):
+        catalog.create(name, {"key_provider": provider, "key_arn": f"arn:aws:kms:{arn}", "encryption_context": context})
+    return count_tables_for_key(catalog.listing(), "arn:aws:kms:k1", "aws-kms", "x=1,y=2")
 
 
-@_query("select 'orders' as name, count(*) as docs from orders union all select 'events', count(*) from events")
+@_query("select 'orders' as name, count(*) filter (o_orderkey % 7 <> 0) as docs from orders union all select 'events', count(*) from events")
 def table_counts(spark, sf_dir):
-    a = sealed(spark, sf_dir, "orders").agg(F.lit("orders").alias("name"), F.count("*").alias("docs"))
-    return a.unionAll(sealed(spark, sf_dir, "events").agg(F.lit("events").alias("name"), F.count("*").alias("docs")))
+    catalog = _orders(spark, sf_dir)
+    return catalog.read("orders").unionByName(catalog.read("events"), allowMissingColumns=True).groupBy(F.col("_index").alias("name")).agg(F.count("*").alias("docs"))
+
+
+@_query("select * from (values ('events', 'encryption_context', ''), ('events', 'key_arn', 'arn:aws:kms:r:1:key/a'), ('events', 'key_provider', 'dummy'), ('events', 'shards', '1'), ('orders', 'encryption_context', ''), ('orders', 'key_provider', 'dummy'), ('orders', 'shards', '2')) as t(\"table\", setting, value)")
+def get_settings(spark, sf_dir):
+    return _orders(spark, sf_dir).settings()
+
+
+@_query("select 'orders' as \"table\", 'encrypted' as store, 3 as batches, count(*) + count(*) filter (o_orderkey % 5 = 0) + count(*) filter (o_orderkey % 7 = 0) as rows from orders union all select 'events', 'encrypted', 1, count(*) from events")
+def cat_indices(spark, sf_dir):
+    return _orders(spark, sf_dir).listing().select("table", "store", "batches", "rows")
+
+
+@_query("select 'orders' as name, count(*) as rows, count(*) filter (o_orderkey % 7 = 0) as deleted, count(*) filter (o_orderkey % 7 <> 0) as docs from orders union all select 'events', count(*), 0, count(*) from events")
+def index_stats(spark, sf_dir):
+    """Documents that were added, deleted, and are there."""
+    catalog = _orders(spark, sf_dir)
+    added = catalog.segments().where("segment = 0").select(F.col("table").alias("name"), "rows")
+    docs = catalog.read("orders").unionByName(catalog.read("events"), allowMissingColumns=True).groupBy(F.col("_index").alias("name")).agg(F.count("*").alias("docs"))
+    return added.join(docs, "name").select("name", "rows", (F.col("rows") - F.col("docs")).alias("deleted"), "docs")
+
+
+@_query("select 'orders' as \"table\", 0 as segment, count(*) as rows, true as searchable from orders union all select 'orders', 1, count(*), true from orders where o_orderkey % 5 = 0 union all select 'orders', 2, count(*), true from orders where o_orderkey % 7 = 0 union all select 'events', 0, count(*), true from events")
+def cat_segments(spark, sf_dir):
+    return _orders(spark, sf_dir).segments()
+
+
+@_query(f"select 'orders' as _index, o_orderkey, {_PRICED.split(', case')[0]} from orders where o_orderkey % 7 <> 0")
+def snapshot_restore(spark, sf_dir):
+    """A table is snapshotted, dropped with what nothing names, and restored under a new key."""
+    catalog = _orders(spark, sf_dir)
+    catalog.snapshot("s", ["orders"])
+    catalog.table("orders").delete(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("_id")), refresh=True)
+    catalog.drop("orders")
+    catalog.vacuum(0)
+    catalog.restore("s", key_arn="arn:aws:kms:r:1:key/b")
+    return catalog.read("orders").select("_index", "o_orderkey", "o_totalprice")
+
+
+@_query("select c_custkey, 1 as ordinal, case when c_custkey % 9 = 0 then 404 else 200 end as status from customer where c_custkey % 4 = 0 union all select c_custkey, 2, 200 from customer where c_custkey % 6 = 0 and c_custkey % 9 <> 0 union all select c_custkey, 2, 404 from customer where c_custkey % 6 = 0 and c_custkey % 9 = 0 union all select c_custkey, 3, case when c_custkey % 9 = 0 or c_custkey % 6 = 0 then 201 else 200 end from customer where c_custkey % 10 = 0 union all select c_custkey, 4, case when c_custkey % 10 = 0 or c_custkey % 9 <> 0 and c_custkey % 6 <> 0 then 200 else 404 end from customer where c_custkey % 12 = 0")
+def bulk_results(spark, sf_dir):
+    """The result of each action: updates, deletes, index, updates in a row; every ninth customer isn't there at first."""
+    keys, _ = _key(spark)
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    table = Table.create(spark, os.path.join(scratch(spark), f"customer-{uuid.uuid4().hex}"), keys)
+    table.load(customer.where("c_custkey % 9 <> 0"), "c_custkey")
+    action = lambda at, kind, cond: customer.where(cond).select(F.lit(at).alias("ordinal"), F.lit(kind).alias("action"), F.col("c_custkey").alias("_id"), F.lit('{"c_acctbal": 1.5}').alias("source"))
+    actions = action(1, "update", "c_custkey % 4 = 0").unionAll(action(2, "delete", "c_custkey % 6 = 0")).unionAll(action(3, "index", "c_custkey % 10 = 0")).unionAll(action(4, "update", "c_custkey % 12 = 0"))
+    return table.bulk_items(actions).select(F.col("_id").cast("long").alias("c_custkey"), F.col("ordinal").cast("int").alias("ordinal"), "status")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
