@@ -127,3 +127,26 @@ def test_a_provider_that_opens_another_key(tmp_path):
         directory.open(str(tmp_path / "keyfile"))
     with pytest.raises(ValueError, match="no key provider"):
         directory.create(str(tmp_path / "other"), {"key_provider": "unknown"})
+
+
+def test_the_jar_is_what_its_source_compiles_to(tmp_path):
+    import shutil
+    import subprocess
+    import zipfile
+    from pathlib import Path
+
+    import pyspark
+
+    from sealframe.crypto.parquet import JAR
+
+    if shutil.which("javac") is None:
+        pytest.skip("no Java compiler")
+    source = JAR.parent / "java" / "KeyDirectoryKmsClient.java"
+    subprocess.run(["javac", "-cp", str(Path(pyspark.__file__).parent / "jars" / "*"), "-d", str(tmp_path), str(source)], check=True)
+    built = {str(x.relative_to(tmp_path)): x.read_bytes() for x in tmp_path.rglob("*.class")}
+    with zipfile.ZipFile(JAR) as jar:
+        held = {x: jar.read(x) for x in jar.namelist() if x.endswith(".class")}
+    assert built.keys() == held.keys()
+    if any(built[x][4:8] != held[x][4:8] for x in built):
+        pytest.skip("another version of the compiler")
+    assert built == held
