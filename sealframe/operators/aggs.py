@@ -6,11 +6,16 @@ over the data, turned into rows afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct values, about, that exact percentiles leave to one task; ranges that more of them are dealt to.
+DISTINCT, RANGES = 1_000_000, 64
+
 
 def terms(df: DataFrame, key: str, size: int | None = None, min_count: int = 1, metrics: Mapping[str, Column] | None = None) -> DataFrame:
     """key, doc_count and metrics by value, most frequent first, ties by value; null values have no bucket."""
@@ -80,23 +85,53 @@ def cardinality(column: str, precision: float | None = None) -> Column:
     return F.count_distinct(column) if precision is None else F.approx_count_distinct(column, precision)
 
 
-def percentiles(df: DataFrame, column: str, percents: Sequence[float], accuracy: int | None = None) -> DataFrame:
-    """percent, value: interpolated and exact, or by a sketch of bounded size."""
+def percentiles(df: DataFrame, column: str, percents: Sequence[float], accuracy: int | None = None, most: int = DISTINCT) -> DataFrame:
+    """percent, value: interpolated and exact, or by a sketch of bounded size.
+
+    Exact ones are Spark's own, which hold all distinct values in one task, up to about `most` of these; beyond it
+    values are dealt to ranges, and only the ranges with a wanted rank are put in order.
+    """
     points = [p / 100 for p in percents]
-    values = F.percentile(column, points) if accuracy is None else F.percentile_approx(F.col(column).cast("double"), points, accuracy)
+    x = F.col(column).cast("double")
+    if accuracy is None and df.agg(F.approx_count_distinct(x)).first()[0] > most:
+        return df.sparkSession.createDataFrame(list(zip(map(float, percents), at_points(df, x, points), strict=True)), "percent double, value double")
+    values = F.percentile(column, points) if accuracy is None else F.percentile_approx(x, points, accuracy)
     return df.agg(values.alias("v")).select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*map(F.lit, map(float, percents))), F.col("i") + 1).alias("percent"), "value")
 
 
+def at_points(df: DataFrame, x: Column, points: Sequence[float]) -> list[float]:
+    """The values at these shares of the ranks, interpolated. The driver sees counts of RANGES ranges and the values at the ranks."""
+    bounds = sorted(set(df.agg(F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]))
+    place = F.lit(0)
+    for b in bounds:
+        place = place + (x >= b).cast("int")
+    counted = df.select(x.alias("x"), place.alias("range")).where("x is not null").groupBy("range", "x").count()
+    sizes = {r["range"]: r["n"] for r in counted.groupBy("range").agg(F.sum("count").alias("n")).collect()}
+    starts = dict(zip(sorted(sizes), accumulate((sizes[k] for k in sorted(sizes)), initial=0), strict=False))
+    positions = [p * (sum(sizes.values()) - 1) for p in points]
+    wanted = {rank: max((k for k in starts if starts[k] <= rank)) for at in positions for rank in (math.floor(at), math.ceil(at))}
+    upto = counted.where(F.col("range").isin(list(set(wanted.values())))).withColumn("upto", F.sum("count").over(Window.partitionBy("range").orderBy("x")))
+    holds = F.lit(False)
+    for rank, k in wanted.items():
+        holds = holds | (F.col("range") == k) & (F.col("upto") > rank - starts[k]) & (F.col("upto") - F.col("count") <= rank - starts[k])
+    found = upto.where(holds).collect()
+    value = {rank: next(r["x"] for r in found if r["range"] == k and r["upto"] - r["count"] <= rank - starts[k] < r["upto"]) for rank, k in wanted.items()}
+    return [value[math.floor(at)] if at == math.floor(at) else (math.ceil(at) - at) * value[math.floor(at)] + (at - math.floor(at)) * value[math.ceil(at)] for at in positions]
+
+
 def percentile_ranks(df: DataFrame, column: str, values: Sequence[float]) -> DataFrame:
     """value, rank: the share of values up to it, in percent."""
     cells = [F.struct(F.lit(float(v)).alias("value"), (F.lit(100.0).cast("double") * F.count_if(F.col(column) <= v) / F.count(column)).alias("rank")) for v in values]
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def median_absolute_deviation(df: DataFrame, column: str) -> DataFrame:
-    """mad: the median distance from the median, which is a single row."""
-    middle = df.agg(F.median(column).alias("__m"))
-    return df.select(column).join(F.broadcast(middle)).agg(F.median(F.abs(F.col(column) - F.col("__m"))).alias("mad"))
+def median_absolute_deviation(df: DataFrame, column: str, most: int = DISTINCT) -> DataFrame:
+    """mad: the median distance from the median; medians are exact, as percentiles are."""
+    middle = percentiles(df, column, [50], most=most).first()
+    if middle is None:
+        return df.sparkSession.createDataFrame([(None,)], "mad double")
+    away = df.select(F.abs(F.col(column) - F.lit(middle["value"])).alias("away"))
+    return percentiles(away, "away", [50], most=most).select(F.col("value").alias("mad"))
 
 
 def composite(df: DataFrame, keys: Sequence[str], size: int, after: Sequence | None = None) -> DataFrame:

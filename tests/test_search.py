@@ -95,3 +95,14 @@ def test_aggregations(spark, tickets):
     assert (stats["count"], stats["min"], stats["max"], stats["avg"], stats["sum"], stats["variance"]) == (5, 100.0, 300.0, 200.0, 1000.0, 5000.0)
     empty = tickets.limit(0)
     assert aggs.terms(empty, "status").collect() == [] and aggs.ranges(empty, "priority", [("a", 0, 1)]).first()["doc_count"] == 0
+
+
+def test_exact_percentiles_of_many_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=5000).round(2), np.repeat([3.0, 1.0], [4999, 1]), np.array([7.0]), np.arange(100.0)):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+        got = aggs.percentiles(df, "x", [0, 5, 33.3, 50, 99, 100], most=0).collect()
+        assert np.allclose([r["value"] for r in got], np.percentile(values, [0, 5, 33.3, 50, 99, 100]))
+        assert aggs.median_absolute_deviation(df, "x", most=0).first()["mad"] == pytest.approx(float(np.median(np.abs(values - np.median(values)))))
