@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import SPACE, cut, opaque, small
+from sealframe.llm.shared import SPACE, as_table, cut, opaque, small
 
 #: Characters that separate words, and those that count as symbols.
 SEPARATORS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
@@ -117,8 +117,9 @@ def judge(measured: DataFrame, hosts: DataFrame, host: str) -> DataFrame:
 def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", limit: float = LIMIT) -> DataFrame:
     """Measures, rules and verdicts of every row of docs, without its text; other columns stay.
 
-    Null texts count as empty and fail; null hosts are one host; repeated rows are judged alike; an empty table gives an
-    empty one. Columns of the names that this adds are replaced.
+    Null texts count as empty and fail; texts of any length are read whole; null hosts are one host; repeated rows are
+    judged alike; an empty table gives an empty one. Hosts whose rate is the limit itself are rejected. Columns of the names
+    that this adds are replaced.
     """
     measured = cut(with_rules(docs.drop("host_rejected", "kept"), text).drop(text))
     return judge(measured, rejected_hosts(measured, host, limit), host)
@@ -127,16 +128,46 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lim
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", limit: float = LIMIT) -> DataFrame:
     """docs without the rows that the rules or their host's verdict reject.
 
-    Hosts are judged from a narrow checkpoint of all rows; the rows kept are then measured again, which costs less
-    than moving or storing their texts.
+    Texts are measured once: a table in the shared folder holds all rows' hosts and rules, and of the rows that pass the
+    base rules the whole row. Hosts are judged from its narrow columns, and the rows are read back from it.
     """
-    counted = cut(with_rules(docs.select(host, text), text).select(host, "failed"))
-    measured = docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns})  # docs' own columns of these names survive
-    measured = with_rules(measured, text)
-    kept = judge(measured, rejected_hosts(counted, host, limit), host).where("kept")
-    return kept.select(*(F.col(f"__own_{c}").alias(c) for c in docs.columns))
+    own = F.struct(*(F.col(c) for c in docs.columns))
+    measured = with_rules(docs.select(own.alias("__own"), F.col(text).alias("__text"), F.col(host).alias("__host")), "__text")
+    stored = as_table(measured.select("__host", "base_failed", "failed", F.when(~F.col("base_failed"), F.col("__own")).alias("__own")), "measured")
+    kept = judge(stored.select("__host", "base_failed", "__own").withColumnRenamed("__host", "__of"), rejected_hosts(stored, "__host", limit), "__of").where("kept")
+    return kept.select(*(F.col("__own").getField(c).alias(c) for c in docs.columns))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed, kept of every row."""
     return quality_rules(docs.select("doc_id", "source", "text")).select("doc_id", *MEASURES, "base_failed", "kept")
+
+
+def _sql() -> str:
+    """digests() in DuckDB's SQL."""
+    white, failed = "[ \\t\\n\\x0b\\f\\r]", ", ".join(f"({x}) as {k}" for k, x in RULES.items())
+    rates = " union all ".join(f"select host, n, {k} as n_failed, '{k}' as rule from by_host" for k in RULES)
+    counts = ", ".join(f"count(*) filter ({k}) as {k}" for k in RULES)
+    return f"""
+with d as (select row_number() over () as rn, doc_id, source, coalesce(text, '') as t from documents),
+w as (select *, list_filter(regexp_split_to_array(t, '{white}+'), lambda x: x <> '') as words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) as lines from d),
+spots as (select rn, words, unnest(range(1, len(words) - {WINDOW - 2})) as i from w),
+windows as (select rn, i, words[i:i + {WINDOW - 1}] as k from spots),
+again as (select rn, i from (select rn, i, count(*) over (partition by rn, k) as n from windows) where n > 1),
+covered as (select rn, count(distinct j) as n from (select rn, unnest(range(i, i + {WINDOW})) as j from again) group by rn),
+measured as (
+  select rn, doc_id, source as host, len(words) as n_words, length(regexp_replace(t, '{white}', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words
+  from w left join covered c using (rn)),
+failed as (select *, {failed} from measured),
+by_host as (select host, count(*) as n, {counts} from failed group by host),
+shares as ({rates}),
+prior as (select rule, sum(n_failed) / sum(n) as m, sum(n * (n_failed / n) * (n_failed / n)) / sum(n) as square, count(*) / sum(n) as sampling from shares group by rule),
+weights as (select rule, m, least(greatest(m * (1 - m) / greatest(square - m * m - m * (1 - m) * sampling, 1e-12) - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) as weight from prior),
+rejected as (select distinct host, true as bad from shares join weights using (rule) where (n_failed + m * weight) / (n + weight) >= {LIMIT})
+select doc_id, {", ".join(f"{c}::bigint as {c}" for c in MEASURES)}, ({" or ".join(BASE)}) as base_failed, not ({" or ".join(BASE)}) and r.bad is null as kept
+from failed f left join rejected r on f.host is not distinct from r.host
+"""
+
+
+SQL = _sql()
