@@ -6,27 +6,31 @@ resemble each other share skip potentials, so that what a pattern knows in one p
 same value. Beliefs come from loopy sum-product message passing; base words are clamped to their kind.
 
 Word potentials are a softmax regression on shapes, transition and skip weights come from counts. All are fitted to the
-patterns' own labels on a bounded sample (SAMPLE documents, those of the smallest text hashes); every text is then read
-whole.
+patterns' own labels on a bounded sample (SAMPLE documents of at most SAMPLE_CHARS characters, those of the smallest text
+hashes); every text is then read whole. Words, links and messages of a document are arrays, and messages are passed in
+blocks of links, so that memory is some 200 bytes a candidate word whatever the text's length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from typing import NamedTuple
+from array import array
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import by_rows
+from sealframe.llm.shared import by_rows, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents with candidate characters that the model is fitted on, at most; words that they yield, at most.
-SAMPLE, SAMPLE_WORDS = 1_000, 40_000
+#: Documents with candidate characters that the model is fitted on, at most; their characters, each; words that they yield, at most.
+SAMPLE, SAMPLE_CHARS, SAMPLE_WORDS = 1_000, 50_000, 40_000
 #: Rounds of message passing, share of the old message that a new one keeps, least belief of an added word.
 ROUNDS, DAMPING, BELIEF = 12, 0.3, 0.6
+#: Links whose messages are computed at a time.
+BLOCK = 1 << 16
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -70,24 +74,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Words(NamedTuple):
-    """Candidate words of a document, in order: spans, labels (0 none, else kind + 1), which are base, features, links."""
+    """Candidate words of a document, in order, as arrays.
 
-    spans: list[tuple[int, int]]
-    labels: list[int]
-    features: list[list[float]]
-    chain: list[tuple[int, int]]
-    skips: list[tuple[int, int]]
+    start, end: places in the text; labels: 0 none, else kind + 1 of a base span; shapes: features as bits; chain: whether
+    the word before is a neighbour; earlier, later: words that a skip link joins.
+    """
+
+    start: Any
+    end: Any
+    labels: Any
+    shapes: Any
+    chain: Any
+    earlier: Any
+    later: Any
 
 
-def shape(word: str) -> list[float]:
-    """Features of a word by itself."""
+def shape(word: str) -> int:
+    """Features of a word by itself, as bits; the lowest is always set."""
     digits = "".join(x for x in word if "0" <= x <= "9")
     n, letters = len(digits), sum(x.isalpha() for x in word)
-    flags = ["@" in word, word[:1] == "+", letters > 0, "-" in word, "(" in word, word.count(".") == 3, n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n >= 20, 14 <= n <= 19 and luhn(digits), n > 0 and letters > n]
-    return [1.0, *map(float, flags)]
+    flags = [True, "@" in word, word[:1] == "+", letters > 0, "-" in word, "(" in word, word.count(".") == 3, n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 19, n >= 20, 14 <= n <= 19 and luhn(digits), n > 0 and letters > n]
+    return sum(1 << k for k, flag in enumerate(flags) if flag)
+
 
+FEATURES = 16
 
-FEATURES = len(shape(""))
+
+def features(shapes):
+    """A row of 0 and 1 for each shape."""
+    import numpy as np
+
+    return (np.asarray(shapes)[:, None] >> np.arange(FEATURES) & 1).astype(np.float64)
 
 
 def keys(word: str) -> list[str]:
@@ -101,30 +118,42 @@ def keys(word: str) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Words:
-    spans, labels, features, chain, skips, before = [], [], [], [], [], {}
-    ends, b, order, previous = sorted(base), 0, 0, -9
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    starts, ends, labels, shapes, chain, likes, of = array("q"), array("q"), array("b"), array("H"), array("b"), array("Q"), array("i")
+    spans, b, order, previous = sorted(base), 0, 0, -9
     for m in _WORD.finditer(text):
         order += 1
         raw, start, end = m.group(), *m.span()
-        while b < len(ends) and ends[b][1] <= start:
+        while b < len(spans) and spans[b][1] <= start:
             b += 1
-        label = next((k + 1 for s, e, k in ends[b : b + 4] if s < end and e > start), 0)
-        if not label and raw.isalpha() or not (label or "@" in raw or any("0" <= x <= "9" for x in raw)):
+        label = next((k + 1 for s, e, k in spans[b : b + 4] if s < end and e > start), 0)
+        if not label and raw.isalpha() or not (label or "@" in raw or _DIGIT.search(raw)):
             continue
         core = raw.strip(_MARKS) or raw
         start += raw.find(core)
-        i = len(spans)
-        spans.append((start, start + len(core)))
+        for key in keys(core):
+            likes.append(xxh64_intdigest(key))
+            of.append(len(starts))
+        starts.append(start)
+        ends.append(start + len(core))
         labels.append(label)
-        features.append(shape(core))
-        if order - previous <= 2 and i:
-            chain.append((i - 1, i))
+        shapes.append(shape(core))
+        chain.append(len(starts) > 1 and order - previous <= 2)
         previous = order
-        for key in keys(core):
-            first, last = before.get(key, (i, i))
-            skips += [(j, i) for j in dict.fromkeys((first, last)) if j != i]  # to the first and the last of its like
-            before[key] = (first, i)
-    return Words(spans, labels, features, chain, list(dict.fromkeys(skips)))
+    like, word = np.array(likes, dtype=np.uint64), np.array(of, dtype=np.int32)
+    del likes, of
+    at = np.argsort(like, kind="stable")  # words of one key in order
+    like, word = like[at], word[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = like[1:] != like[:-1]
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else at
+    later = np.flatnonzero(~new)
+    # each word is linked to the first and the last of its like before it
+    pairs = np.concatenate([word[begin[later]].astype(np.int64) << 32 | word[later], word[later - 1].astype(np.int64) << 32 | word[later]])
+    pairs = np.unique(pairs[pairs >> 32 != pairs & 0xFFFFFFFF])
+    return Words(np.array(starts), np.array(ends), np.array(labels, dtype=np.int8), np.array(shapes, dtype=np.uint16), np.array(chain, dtype=bool), (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32))
 
 
 class Model(NamedTuple):
@@ -143,26 +172,26 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     hashed = docs.select(t.alias("text"), F.xxhash64(t).alias("h"))
     # a share of all hashes in which ten times the sample is expected, so that what one task sorts doesn't grow with the corpus
     share = min(1.0, 10 * SAMPLE / max(1, docs.count()))
-    chosen = hashed.where((F.col("h") <= min(int(share * 2**64), 2**64 - 1) - 2**63) & F.col("text").rlike("[0-9@]")).dropDuplicates(["h"])
+    chosen = hashed.where((F.col("h") <= min(int(share * 2**64), 2**64 - 1) - 2**63) & (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]")).dropDuplicates(["h"])
     sample = chosen.orderBy("h").limit(SAMPLE).select("text")
 
     def rows(batches):
         for (texts,) in by_rows(batches, "text"):
             for x in texts:
                 w = candidates(x, base_spans(x))
-                after, like = dict(w.chain), {j: i for i, j in w.skips}
-                n = range(len(w.spans))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w.features, pa.list_(pa.float64())), pa.array(w.labels, pa.int32()), pa.array([w.labels[after[i]] if i in after else -1 for i in n], pa.int32()), pa.array([w.labels[like[i]] if i in like else -1 for i in n], pa.int32())], ["x", "y", "next", "like"]
-                )
+                labels, after, like = w.labels.astype(np.int32), np.full(len(w.start), -1, dtype=np.int32), np.full(len(w.start), -1, dtype=np.int32)
+                linked = np.flatnonzero(w.chain)
+                after[linked - 1] = labels[linked]
+                like[w.later] = labels[w.earlier]
+                yield pa.RecordBatch.from_arrays([pa.array(w.shapes.astype(np.int32)), pa.array(labels), pa.array(after), pa.array(like)], ["x", "y", "next", "like"])
 
-    got = sample.mapInArrow(rows, "x array<double>, y int, next int, like int").limit(SAMPLE_WORDS).collect()
+    got = sample.mapInArrow(rows, "x int, y int, next int, like int").limit(SAMPLE_WORDS).collect()
     labels = len(KINDS) + 1
     weights = np.zeros((FEATURES, labels))
     pair = np.full((labels, labels), 0.5)
     agree = np.array([1.0, 1.0])
     if got:
-        x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got])
+        x, y = features([r["x"] for r in got]), np.array([r["y"] for r in got])
         target = np.eye(labels)[y]
         for _ in range(400):
             z = x @ weights
@@ -178,56 +207,75 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     return Model(weights.tolist(), chain.tolist(), float(np.log(agree[1] / agree[0]).clip(1, 4)))
 
 
+def passed(total, back, potential):
+    """Messages over links: what the sources believe without what came back from the targets, through the potential."""
+    import numpy as np
+
+    out = total - back
+    out = np.log(np.exp(out - out.max(axis=1, keepdims=True)) @ potential + np.float32(1e-30))
+    return out - out.max(axis=1, keepdims=True)
+
+
 def beliefs(words: Words, model: Model):
-    """Marginals of each word's labels by loopy sum-product over chain and skip edges."""
+    """Marginals of each word's labels by loopy sum-product over chain and skip links."""
     import numpy as np
 
-    n, labels = len(words.spans), len(KINDS) + 1
-    unary = np.array(words.features) @ np.array(model.words)
-    base = np.array(words.labels)
-    unary[base > 0] = -50.0
-    unary[base > 0, base[base > 0]] = 50.0
+    n, labels = len(words.start), len(KINDS) + 1
+    kinds, of = np.unique(words.shapes, return_inverse=True)
+    unary = (features(kinds) @ np.array(model.words)).astype(np.float32)[of]
+    base = np.flatnonzero(words.labels)
+    unary[base] = -50.0
+    unary[base, words.labels[base]] = 50.0
     unary -= unary.max(axis=1, keepdims=True)
-    edges = [*words.chain, *words.skips]
-    if edges:
-        a, b = np.array(edges).T
-        source, target = np.concatenate([a, b]), np.concatenate([b, a])
-        chain, skip = np.array(model.chain), np.eye(labels) * model.skip
-        potential = np.exp(np.stack([chain] * len(words.chain) + [skip] * len(words.skips) + [chain.T] * len(words.chain) + [skip] * len(words.skips)))
-        half = len(edges)
-        back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        message = np.zeros((2 * half, labels))
-        for _ in range(ROUNDS):
-            total = unary.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]  # without what came from the target
-            out = np.log(np.einsum("ei,eij->ej", np.exp(out - out.max(axis=1, keepdims=True)), potential) + 1e-30)
-            out -= out.max(axis=1, keepdims=True)
-            change = np.abs(out - message).max()
-            message = DAMPING * message + (1 - DAMPING) * out
-            if change < 1e-3:
-                break
-        np.add.at(unary, target, message)
+    linked = np.flatnonzero(words.chain).astype(np.int32)
+    # links of a kind: sources, targets, potential, messages to the targets and back
+    kinds_of_links = [(linked - 1, linked, np.exp(np.array(model.chain))), (words.earlier, words.later, np.exp(np.eye(labels) * model.skip))]
+    links = [(a, b, p.astype(np.float32), np.zeros((len(a), labels), dtype=np.float32), np.zeros((len(a), labels), dtype=np.float32)) for a, b, p in kinds_of_links if len(a)]
+
+    def total():
+        out = unary.copy()
+        for a, b, _, to, back in links:
+            for k in range(labels):
+                for i in range(0, len(a), BLOCK):
+                    at = slice(i, i + BLOCK)
+                    np.add.at(out[:, k], b[at], to[at, k])
+                    np.add.at(out[:, k], a[at], back[at, k])
+        return out
+
+    for _ in range(ROUNDS if links else 0):
+        now, change = total(), 0.0
+        for a, b, p, to, back in links:
+            for i in range(0, len(a), BLOCK):
+                at = slice(i, i + BLOCK)
+                new = passed(now[a[at]], back[at], p), passed(now[b[at]], to[at], p.T)
+                change = max(change, float(np.abs(new[0] - to[at]).max()), float(np.abs(new[1] - back[at]).max()))
+                for old, x in zip((to, back), new, strict=True):
+                    old[at] = DAMPING * old[at] + (1 - DAMPING) * x
+        if change < 1e-3:
+            break
+    unary = total()
     p = np.exp(unary - unary.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True) if n else p
 
 
 def find(text: str | None, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of a whole text; added spans overlap no base span."""
+    import numpy as np
+
     if not text or not ("@" in text or _DIGIT.search(text)):
         return [], []
     base = base_spans(text)
     words = candidates(text, base)
-    if not words.spans:
+    if not len(words.start):
         return base, base
     p, added = beliefs(words, model), []
-    for i, (start, end) in enumerate(words.spans):
-        kind = int(p[i].argmax())
-        if not words.labels[i] and kind and p[i, kind] >= BELIEF:
-            if added and added[-1][2] == kind - 1 and added[-1][3] == i - 1 and (i - 1, i) in words.chain and not text[added[-1][1] : start].strip():
-                added[-1] = (added[-1][0], end, kind - 1, i)
-            else:
-                added.append((start, end, kind - 1, i))
+    kinds = p.argmax(axis=1)
+    for i in np.flatnonzero((words.labels == 0) & (kinds > 0) & (p.max(axis=1) >= BELIEF)).tolist():
+        start, end, kind = int(words.start[i]), int(words.end[i]), int(kinds[i]) - 1
+        if added and added[-1][2] == kind and added[-1][3] == i - 1 and words.chain[i] and not text[added[-1][1] : start].strip():
+            added[-1] = (added[-1][0], end, kind, i)
+        else:
+            added.append((start, end, kind, i))
     return base, sorted([*base, *(x[:3] for x in added)], key=lambda s: (s[0], s[2]))
 
 
@@ -252,12 +300,13 @@ def find_pii(docs: DataFrame, model: Model | None = None, doc_id: str = "doc_id"
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, redacted of every row.
 
     Null and empty texts have no spans; a null text stays null in redacted. Offsets count code points. doc_ids may be
-    null or repeat; other columns are ignored.
+    null or repeat; other columns are ignored; an empty table gives no rows. Very long texts are read whole, a document at a
+    time. Of labels that a word may equally have, it takes the first in the order of KINDS; none comes before them.
     """
     kind, model = docs.schema[doc_id].dataType.simpleString(), model or fit(docs, text)
 
     def search(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column("text").to_pylist():
                 base, spans = find(t, model)
@@ -275,7 +324,7 @@ def redact_all(docs: DataFrame, model: Model | None = None, text: str = "text")
     model = model or fit(docs, text)
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in slices(batches):
             i = batch.schema.get_field_index(text)
             new = [redact(t, spans) if (spans := find(t, model)[1]) else t for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
