@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import cut, small
+from sealframe.llm.shared import cut, slices, small
 
 BITS = 64
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def mark(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint_text(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import as_table, by_rows, scratch_path
+from sealframe.llm.shared import as_table, by_rows, scratch_path, slices
 from sealframe.llm.token_files import filesystem
 
 #: Ids in a block.
@@ -37,7 +37,7 @@ def write_flat(docs: DataFrame, tokenizer: str, chunks: str, separator: int, wid
         ids_of, task, ordinal, out = encoder(tokenizer, chunks, plain=True), TaskContext.get(), 0, None
         fs, top = filesystem(path)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.tokens"
-        for batch in batches:
+        for batch in slices(batches):
             if out is None and batch.num_rows:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(f"{top}/{name}", compression=None)
@@ -61,7 +61,8 @@ def scan(paths: DataFrame, separator: int, width: int = 2, block: int = BLOCK) -
     An empty file has no documents; a file that isn't a whole number of ids raises an error.
     """
     spark = paths.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, paths.count())
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), files)
 
     def cut_up(batches):
         for (names,) in by_rows(batches, "path"):
@@ -87,7 +88,7 @@ def scan(paths: DataFrame, separator: int, width: int = 2, block: int = BLOCK) -
                     ends = np.append(ends, size)  # the file's last document has no separator
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([k], pa.int64()), pa.array([len(ends)], pa.int64()), pa.array([[None, *(ends[:-1] + 1).tolist()][: len(ends)]], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["path", "block", "n", "starts", "ends"])
 
-    blocks = paths.select("path").repartition(tasks).mapInArrow(cut_up, "path string, block long, size long")
+    blocks = paths.select("path").repartition(files).mapInArrow(cut_up, "path string, block long, size long")
     found = as_table(blocks.repartition(tasks).mapInArrow(search, "path string, block long, n long, starts array<long>, ends array<long>"), "separators")
     # a row for each block: how many documents end before it, and where the last of them ends
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
