@@ -1,13 +1,20 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units become typed placeholders, so a question and its copies with other figures, people or measures
-have one template. A capitalised word that opens a sentence may be a name or not, so its windows have both forms, and the
-exact form in lower case finds verbatim copies in other case. Windows of five template words of all documents are joined by hash with those of the benchmark; a
-document that holds at least 0.8 of an item's windows is contaminated if the values in the placeholders agree, that is,
-if each value of the item stands for one value throughout the document's copy. All places of a window count, and a
-document is judged by its best copy.
+have one template. Windows of five template words of all documents are joined by hash with those of the benchmark, in
+these forms:
 
-Windows that no benchmark item can have are dropped before the shuffle by a bitmap of fixed size, made of all the
+* typed: with placeholders. A capitalised word that opens a sentence may be a name or not, so its windows have both forms.
+* folded: where a window has no capitals, its words may be names too, at the places where the benchmark has names.
+* exact: the words in lower case with their own values. They find verbatim copies in other case, and are the only form of
+  windows of mostly placeholders, whose typed forms say nothing, and of items of fewer words than a window, which have one
+  window of their whole length.
+
+A document holds an item if it has at least 0.8 of the item's windows with their own values, or 0.8 of those with a typed
+form and the values in the placeholders agree: each value of the item stands for one value throughout the copy, and the
+other way round. All places of a window count, and a document is judged by its best copy.
+
+Windows that no benchmark item can have are dropped before the shuffle by a filter of fixed size, made of all the
 benchmark's windows; the join that follows is exact.
 """
 
@@ -18,14 +25,15 @@ import itertools
 from collections import Counter
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import cut, small
+from sealframe.llm.shared import cut, slices, small
 
 #: Words in a window, windows of an item that a copy has at least, share of placeholders that agree.
 WINDOW, COVERAGE, CONSISTENCY = 5, 0.8, 0.8
-#: Of a window's words, so many are not placeholders at least.
+#: Of a window's words, so many are not placeholders at least, or it has no typed form.
 LITERALS = 2
 #: Bits of the filter (a power of two): its size doesn't depend on any table.
 FILTER_BITS = 1 << 22
@@ -35,18 +43,21 @@ NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twe
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ounce ounces pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees kph mph"
 
 LITERAL, NUMBER, NAME, UNIT, NOTHING = range(5)
-TYPED, EXACT = range(2)
+TYPED, EXACT, FOLDED = range(3)
+#: Words that a worker remembers.
+REMEMBERED = 250_000
 _TRIM = ".,;:!?\"'()[]{}|*#&_-–—…“”‘’«»¿¡"
 
 
 def classify(word: str) -> tuple[int, str, bool, bool]:
     """Kind of a word by itself, its trimmed form, whether it is capitalised, whether it ends a sentence."""
-    core = word.strip(_TRIM)
-    ends = word.rstrip("\"')]}”’»")[-1:] in tuple(".!?:")
+    plain = word.isalpha()  # most words
+    core = word if plain else word.strip(_TRIM)
+    ends = not plain and word.rstrip("\"')]}”’»")[-1:] in tuple(".!?:")
     low = core.lower()
     if not core:
         return NOTHING, "", False, ends
-    if any(x.isdigit() for x in core) and not any(x.isalpha() for x in core) or low in _NUMBERS:
+    if low in _NUMBERS or not core.isalpha() and any(x.isdigit() for x in core) and not any(x.isalpha() for x in core):
         return NUMBER, low, False, ends
     if low in _UNITS:
         return UNIT, low, False, ends
@@ -60,11 +71,9 @@ class _Codes(dict):
     """Word to code: hash of the trimmed form, with the kind and flags in the low bits. Bounded; forgets all beyond that."""
 
     def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
         kind, core, upper, ends = classify(word)
-        code = xxh64_intdigest(core.encode()) & ~31 | kind << 2 | upper << 1 | ends
-        if len(self) >= 400_000:
+        code = xxhash.xxh64_intdigest(core.encode()) & ~31 | kind << 2 | upper << 1 | ends
+        if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 64:
             self[word] = code
@@ -75,10 +84,10 @@ _codes = _Codes()
 
 
 def template(text: str | None):
-    """(exact, kinds, opens, words): a text's template words, without those that are only marks.
+    """(exact, kinds, opens, upper, words): a text's template words, without those that are only marks.
 
     exact: codes of the words in lower case. A capitalised word inside a sentence is a name; one that begins the text or a
-    sentence may be a name or not, which opens marks.
+    sentence may be a name or not, which opens marks. upper: all capitalised words.
     """
     import numpy as np
 
@@ -92,54 +101,87 @@ def template(text: str | None):
     exact, opens = raw & np.uint64(~31 & (1 << 64) - 1), upper & starts
     if (kinds == NOTHING).any():
         left = np.flatnonzero(kinds != NOTHING)
-        return exact[left], kinds[left], opens[left], [words[j] for j in left.tolist()]
-    return exact, kinds, opens, words
+        return exact[left], kinds[left], opens[left], upper[left], [words[j] for j in left.tolist()]
+    return exact, kinds, opens, upper, words
 
 
-def windows(exact, kinds, opens, of, window: int = WINDOW):
-    """(at, hash, holes, form) arrays of the windows of many texts, laid end to end; of: the text of each word.
+def mixed(codes, place: int):
+    """A word's part of the hash of a window in which it stands at this place; a window's hash is the sum of its words'."""
+    import numpy as np
 
-    A window has its template form, a further one for each choice of its openers that are taken as names, and the exact
-    form of its words in lower case. holes: bits of the words that are placeholders. form: TYPED or EXACT. Typed forms
-    have enough literal words.
-    """
+    h = (codes + np.uint64(0x9E3779B97F4A7C15 * (place + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def exact_windows(exact, of, window: int):
+    """(at, hash) of the windows of so many words within a text, by their words in lower case."""
     import numpy as np
 
     n = len(exact) - window + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int8)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    h = np.full(n, window, dtype=np.uint64)
+    for k in range(window):
+        h += mixed(exact[k : k + n], k)
+    at = np.flatnonzero(of[:n] == of[window - 1 :])
+    return at, h[at]
+
+
+def windows(exact, kinds, opens, upper, of, window: int = WINDOW, masks=()):
+    """(at, hash, holes, names, form) arrays of the windows of many texts, laid end to end; of: the text of each word.
+
+    masks: the places of names, as bits, that folded forms have. holes, names: bits of the words that are placeholders, or
+    names, in this form.
+    """
+    import numpy as np
+
+    at, exactly = exact_windows(exact, of, window)
+    n = len(exact) - window + 1
+    if not len(at):
+        return at, exactly.view(np.int64), at, at, np.zeros(0, dtype=np.int8)
     typed = np.where(kinds == LITERAL, exact, kinds.astype(np.uint64))
-    empty, may = (kinds != LITERAL).astype(np.int64), opens.astype(np.int64)
-    holes, names = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    empty, named, may, big = (x.astype(np.int64) for x in (kinds != LITERAL, kinds == NAME, opens, upper))
+    parts, holes, names, openers, capitals = [], *(np.zeros(n, dtype=np.int64) for _ in range(4))
     for k in range(window):
-        holes |= empty[k : k + n] << k
-        names |= may[k : k + n] << k
-    within = np.flatnonzero(of[:n] == of[window - 1 :])
-    holes_of, names_of = holes[within], names[within]
-
-    def hashed(codes, at, chosen: int, seed: int):
-        h = np.full(len(at), seed, dtype=np.uint64)
-        for k in range(window):
-            h = (h ^ (np.uint64(NAME) if chosen >> k & 1 else codes[at + k])) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h.view(np.int64)
-
-    found = [(within, hashed(exact, within, 0, window), holes_of, np.full(len(within), EXACT, dtype=np.int8))]
-    some = np.flatnonzero(names_of)
-    for chosen in range(1 << window):
-        of_these = some[names_of[some] & chosen == chosen] if chosen else np.arange(len(within))
-        gaps = holes_of[of_these] | chosen
-        of_these = of_these[window - np.bitwise_count(gaps) >= LITERALS]
-        if len(of_these):
-            at = within[of_these]
-            found.append((at, hashed(typed, at, chosen, 0), holes_of[of_these] | chosen, np.full(len(at), TYPED, dtype=np.int8)))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, window: int = WINDOW, capitals: bool = True) -> DataFrame:
-    """key columns, hash, at (place of the first word), words, holes, form of each window at each of its places.
-
-    chosen: a bitmap of hashes to keep. capitals: whether texts without small letters have exact forms.
+        parts.append(mixed(typed[k : k + n], k)[at])
+        for bits, flags in ((holes, empty), (names, named), (openers, may), (capitals, big)):
+            bits |= flags[k : k + n] << k
+    holes, names, openers, capitals = (x[at] for x in (holes, names, openers, capitals))
+    whole = sum(parts)
+    name = [mixed(np.array([NAME], dtype=np.uint64), k)[0] for k in range(window)]
+    found = [(at, exactly, holes, names, EXACT)]
+
+    def add(these, chosen: int, form: int) -> None:
+        """The windows `these` with names at the chosen places, if enough words are literal."""
+        these = these[window - np.bitwise_count(holes[these] | chosen) >= LITERALS]
+        if len(these):
+            h = whole[these]
+            for k in range(window):
+                if chosen >> k & 1:
+                    h += name[k] - parts[k][these]
+            found.append((at[these], h, holes[these] | chosen, names[these] | chosen, form))
+
+    add(np.arange(len(at)), 0, TYPED)
+    some = np.flatnonzero(openers)
+    for chosen in range(1, 1 << window):
+        if len(some):
+            add(some[openers[some] & chosen == chosen], chosen, TYPED)
+    if masks:
+        small_ = np.flatnonzero(capitals == 0)
+        for chosen in masks:
+            add(small_[holes[small_] & chosen == 0], chosen, FOLDED)
+    at, h, holes, names = (np.concatenate(x) for x in list(zip(*found, strict=True))[:4])
+    return at, h.view(np.int64), holes, names, np.repeat(np.array([f[4] for f in found], dtype=np.int8), [len(f[0]) for f in found])
+
+
+def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, window: int = WINDOW, capitals: bool = True, masks=(), short=None) -> DataFrame:
+    """key columns, hash, at (place of the first word), words, holes, names, form of each window at each of its places.
+
+    chosen: a filter of hashes to keep. capitals: whether texts without small letters have exact and folded forms. short:
+    window lengths under `window` that exact windows have too; None: a text of fewer words has one window of its length.
     """
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
     bits = None if chosen is None else len(chosen) * 8
@@ -159,36 +201,50 @@ def template_windows(df: DataFrame, key: list[str], text: str, chosen=None, wind
         import numpy as np
 
         keep = None if chosen is None else np.unpackbits(np.frombuffer(chosen, dtype=np.uint8), bitorder="little").astype(bool)
-        for batch in batches:
-            rows, out = [], [[] for _ in range(5)]
+        for batch in slices(batches):
+            rows, out = [], [[] for _ in range(6)]
             for first, texts in groups(batch.column(text).to_pylist()):
                 made = [template(t) for t in texts]
-                sizes = [len(m[0]) for m in made]
+                sizes = np.array([len(m[0]) for m in made])
                 of, begin = np.repeat(np.arange(len(texts)), sizes), np.cumsum([0, *sizes])
-                at, h, holes, form = windows(*(np.concatenate([m[k] for m in made]) for k in range(3)), of, window)
-                good = np.ones(len(at), dtype=bool) if keep is None else keep[h & (bits - 1)]
-                if not capitals:
-                    good &= (form != EXACT) | ~np.fromiter(((t or "").isupper() for t in texts), dtype=bool, count=len(texts))[of[at]]
-                good = np.flatnonzero(good)
-                for j in good.tolist():
-                    i = int(of[at[j]])
-                    place = int(at[j] - begin[i])
-                    rows.append(first + i)
-                    for column, value in zip(out, (int(h[j]), place, [w.strip(_TRIM).lower() for w in made[i][3][place : place + window]], int(holes[j]), int(form[j])), strict=True):
-                        column.append(value)
+                exact, kinds, opens, upper = (np.concatenate([m[k] for m in made]) for k in range(4))
+                pieces = [(*windows(exact, kinds, opens, upper, of, window, masks), window)]
+                for n in range(1, window) if short is None else short:
+                    at, h = exact_windows(exact, of, n)
+                    if short is None:
+                        whole = sizes[of[at]] == n
+                        at, h = at[whole], h[whole]
+                    none = np.zeros(len(at), dtype=np.int64)
+                    pieces.append((at, h.view(np.int64), none, none, np.full(len(at), EXACT, dtype=np.int8), n))
+                for at, h, holes, names, form, n in pieces:
+                    good = np.arange(len(at))
+                    if keep is not None:
+                        good = good[keep[h & (bits - 1)]]
+                        good = good[keep[h[good] >> 32 & (bits - 1)]]
+                    if not capitals and len(good):
+                        shouted = np.fromiter(((t or "").isupper() for t in texts), dtype=bool, count=len(texts))
+                        good = good[(form[good] == TYPED) | ~shouted[of[at[good]]]]
+                    for j in good.tolist():
+                        i = int(of[at[j]])
+                        place = int(at[j] - begin[i])
+                        rows.append(first + i)
+                        values = (int(h[j]), place, [w.strip(_TRIM).lower() for w in made[i][4][place : place + n]], int(holes[j]), int(names[j]), int(form[j]))
+                        for column, value in zip(out, values, strict=True):
+                            column.append(value)
             of = pa.array(rows, pa.int64())
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in key), *map(pa.array, out, kinds)], [*key, "hash", "at", "words", "holes", "form"])
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in key), *map(pa.array, out, kinds)], [*key, "hash", "at", "words", "holes", "names", "form"])
 
-    return df.select(*key, text).mapInArrow(cut_up, f"{types}, hash long, at int, words array<string>, holes int, form int")
+    return df.select(*key, text).mapInArrow(cut_up, f"{types}, hash long, at int, words array<string>, holes int, names int, form int")
 
 
 def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A bitmap of the column hash; made of at most bits / 64 rows, whatever the table's size."""
+    """A filter of the column hash, two bits a hash; made of at most bits / 64 rows, whatever the table's size."""
     import numpy as np
 
-    low = F.col("hash").bitwiseAND(bits - 1)
-    words = hashes.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).limit(bits // 64).collect()
+    place = F.explode(F.array(F.col("hash").bitwiseAND(bits - 1), F.shiftright("hash", 32).bitwiseAND(bits - 1)))
+    places = hashes.select(place.alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).limit(bits // 64).collect()
     out = np.zeros(bits // 64, dtype=np.int64)
     for r in words:
         out[r["word"]] = r["bits"]
@@ -198,22 +254,27 @@ def bitmap(hashes: DataFrame, bits: int = FILTER_BITS) -> bytes:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, consistency: float = CONSISTENCY, capitals: bool = False) -> DataFrame:
     """A row for each document and item that it holds: doc_id, text_hash, item_id, n_windows, coverage, consistency, kind.
 
-    kind is "exact" if all placeholders have the item's own values, else "reparameterised". Null and short texts have no
-    windows, so they neither contaminate nor are contaminated. Rows are told apart by doc_id (null too) and a hash of the
-    text, so repeated rows count once; other columns are ignored. Copies in other case count; capitals: also those in texts
-    that are all in capitals.
+    kind is "exact" if all placeholders have the item's own values, else "reparameterised". Null and empty texts have no
+    windows, so they neither contaminate nor are contaminated; empty tables give no rows. Rows are told apart by doc_id
+    (null too) and a hash of the text, so repeated rows count once; other columns are ignored. Of copies that are equally
+    good the measures are the same. Very long texts are read whole. Copies in other case count; capitals: also those in
+    texts that are all in capitals.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), F.xxhash64(item_text).alias("item_hash"), F.col(item_text).alias("text")).distinct()
     known = template_windows(items, ["item_id", "item_hash"], "text")
     item = Window.partitionBy("item_id", "item_hash")
-    # windows that have a typed form count; their exact forms match too
-    known = known.withColumn("typed", F.array_distinct(F.collect_list(F.when(F.col("form") == TYPED, F.col("at"))).over(item))).where(F.array_contains("typed", F.col("at")))
-    known = cut(known.select("item_id", "item_hash", "hash", F.col("at").alias("place"), F.col("words").alias("of"), "holes", F.size("typed").alias("n")))
+    places = lambda which: F.array_distinct(F.collect_list(F.when(which, F.col("at"))).over(item))
+    known = known.withColumn("typed", places(F.col("form") == TYPED)).withColumn("every", places(F.lit(True)))
+    known = cut(known.select("item_id", "item_hash", "hash", F.col("at").alias("place"), F.col("words").alias("of"), "holes", "names", "form", F.size("typed").alias("n"), F.size("every").alias("m"), F.array_contains("typed", F.col("at")).alias("typed")))
+    # at most 2 ** WINDOW and WINDOW values
+    masks = sorted(r[0] for r in known.where(f"form = {TYPED} and names > 0").select("names").distinct().limit(1 << WINDOW).collect())
+    short = sorted(r[0] for r in known.select(F.size("of")).distinct().limit(WINDOW).collect() if r[0] < WINDOW)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    found = template_windows(rows, ["doc_id", "text_hash"], "text", bitmap(known), capitals=capitals).select("doc_id", "text_hash", "hash", "at", F.col("words").alias("is"))
-    met = found.join(small(known), "hash")
+    found = template_windows(rows, ["doc_id", "text_hash"], "text", bitmap(known), capitals=capitals, masks=masks, short=short)
+    found = found.select("doc_id", "text_hash", "hash", "at", F.col("words").alias("is"))
+    met = found.join(small(known.drop("names", "form")), "hash").where(F.size("of") == F.size("is"))
     pair = ["doc_id", "text_hash", "item_id"]
-    met = met.groupBy(*pair).agg(F.collect_set(F.struct("item_hash", "at", "place", "of", "is", "holes", "n")).alias("hits"))
+    met = met.groupBy(*pair).agg(F.collect_set(F.struct("item_hash", "at", "place", "of", "is", "holes", "n", "m", "typed")).alias("hits"))
     types = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in pair)
 
     def judged(batches):
@@ -245,21 +306,21 @@ def copies(hits: list[dict], coverage: float, consistency: float):
 
     Windows of one distance between the places in document and item are a run. Each run is filled up by the nearest windows
     that it lacks and agrees with, so that copies with words put in or left out are whole. The first places of all windows
-    are tried too.
+    are tried too, those with the item's own values before others.
     """
-    n = hits[0]["n"]
     runs: dict[int, dict[int, dict]] = {}
     first: dict[int, dict] = {}
     places: dict[int, list[int]] = {}
-    for x in sorted(hits, key=lambda x: (x["at"], x["holes"].bit_count())):
+    for x in sorted(hits, key=lambda x: (x["at"], x["is"] != x["of"], x["holes"].bit_count())):
         if x["place"] not in runs.setdefault(x["at"] - x["place"], {}):
             runs[x["at"] - x["place"]][x["place"]] = x
             places.setdefault(x["place"], []).append(x["at"])
-        first.setdefault(x["place"], x)
-    whole = measured(first, n)
+        if x["place"] not in first or x["is"] == x["of"] and first[x["place"]]["is"] != x["of"]:
+            first[x["place"]] = x
+    whole = measured(first, coverage)
     if whole[1] < coverage:
         return  # nor has any run more
-    if whole[2] >= consistency:
+    if good(whole, coverage, consistency):
         yield whole
     for offset, run in runs.items():
         run, near = dict(run), []
@@ -267,31 +328,47 @@ def copies(hits: list[dict], coverage: float, consistency: float):
             i = bisect.bisect(places[place], offset + place)
             at = min(places[place][max(i - 1, 0) : i + 1], key=lambda at: abs(at - place - offset))
             near.append((abs(at - place - offset), at - place, place))
-        if not near or len(run) / n >= coverage:
-            measures = measured(run, n)
-            if measures[1] >= coverage and measures[2] >= consistency:
-                yield measures
+        measures = measured(run, coverage)
+        if good(measures, coverage, consistency):
+            yield measures
         for _, group in itertools.groupby(sorted(near), key=lambda x: x[:2]):
             more = run | {place: runs[other][place] for _, other, place in group}
-            measures = measured(more, n)
+            measures = measured(more, coverage)
             if measures[2] >= consistency:
                 run = more
-                if measures[1] >= coverage:
+                if good(measures, coverage, consistency):
                     yield measures
 
 
-def measured(run: dict[int, dict], n: int) -> tuple[int, float, float, str]:
-    """Measures of the windows of a run, by their places in the item."""
-    slots = [(of, x["is"][k]) for x in run.values() for k, of in enumerate(x["of"]) if x["holes"] >> k & 1]
-    return len(run), len(run) / n, agreement(slots), "exact" if all(a == b for a, b in slots) else "reparameterised"
+def good(measures: tuple[int, float, float, str], coverage: float, consistency: float) -> bool:
+    return measures[1] >= coverage and measures[2] >= consistency
+
+
+def measured(run: dict[int, dict], coverage: float) -> tuple[int, float, float, str]:
+    """Measures of the windows of a run, by their places in the item.
+
+    Enough windows with the item's own values are an exact copy; else those with a typed form are measured.
+    """
+    n, m = (next(iter(run.values()))[k] for k in "nm")
+    own, typed = [x for x in run.values() if x["is"] == x["of"]], [x for x in run.values() if x["typed"]]
+    if len(own) >= coverage * m or not n:
+        return len(own), len(own) / m, 1.0, "exact"
+    slots = [(of, x["is"][k]) for x in typed for k, of in enumerate(x["of"]) if x["holes"] >> k & 1]
+    return len(typed), len(typed) / n, agreement(slots), "exact" if all(a == b for a, b in slots) else "reparameterised"
 
 
 def agreement(slots: list[tuple[str, str]]) -> float:
-    """Share of (of, is) pairs that have the most frequent `is` of their `of`; 1 without pairs."""
-    most: dict[str, int] = {}
-    for (of, _), count in Counter(slots).items():
-        most[of] = max(most.get(of, 0), count)
-    return sum(most.values()) / len(slots) if slots else 1.0
+    """Share of (of, is) pairs that have the most frequent `is` of their `of`, or the most frequent `of` of their `is`.
+
+    The smaller of the two shares; 1 without pairs.
+    """
+    shares = [1.0]
+    for side in (0, 1) if slots else ():
+        most: dict[str, int] = {}
+        for pair, count in Counter(slots).items():
+            most[pair[side]] = max(most.get(pair[side], 0), count)
+        shares.append(sum(most.values()) / len(slots))
+    return min(shares)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
