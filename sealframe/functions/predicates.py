@@ -53,7 +53,7 @@ def _term(fields: Fields, body: Mapping[str, Any]) -> Column:
     ((path, value),) = body.items()
     value = value["value"] if isinstance(value, Mapping) else value
     if fields.is_text(path):
-        return F.array_contains(fields.tokens(path), value)  # the value itself isn't analyzed
+        return text.may_hold(F.col(path), [value]) & F.array_contains(fields.tokens(path), value)  # the value itself isn't analyzed
     path = fields.raw(path)
     kind = fields.type_of(path)
     return F.array_contains(F.col(path), value) if isinstance(kind, ArrayType) else F.col(path) == _value(kind, value)
@@ -81,12 +81,15 @@ def _match(fields: Fields, body: Mapping[str, Any]) -> Column:
     options = query if isinstance(query, Mapping) else {"query": query}
     if not fields.is_text(path) and not isinstance(fields.type_of(fields.raw(path)), StringType):
         return _term(fields, {path: options["query"]})
-    return text.match(fields.tokens(fields.raw(path)), options["query"], options.get("operator", "or"), fields.analyzed.get(path, "standard"))
+    operator, analyzer, raw = options.get("operator", "or"), fields.analyzed.get(path, "standard"), fields.raw(path)
+    may = text.may_hold(F.col(raw), text.terms_of(options["query"], analyzer), operator == "and")
+    return may & text.match(fields.tokens(raw), options["query"], operator, analyzer)
 
 
 def _match_phrase(fields: Fields, body: Mapping[str, Any]) -> Column:
     ((path, query),) = body.items()
-    return text.match_phrase(fields.tokens(fields.raw(path)), query["query"] if isinstance(query, Mapping) else query)
+    query, raw = query["query"] if isinstance(query, Mapping) else query, fields.raw(path)
+    return text.may_hold(F.col(raw), text.terms_of(query), every=True) & text.match_phrase(fields.tokens(raw), query)
 
 
 def _multi_match(fields: Fields, body: Mapping[str, Any]) -> Column:
@@ -101,9 +104,9 @@ def _query_string(fields: Fields, body: Mapping[str, Any]) -> Column:
     query, out = body["query"].strip(), F.lit(False)
     for path in body.get("fields") or fields.analyzed or [f.name for f in fields.schema if isinstance(f.dataType, StringType)]:
         if len(query) > 1 and query[0] == query[-1] == '"':
-            out = out | text.match_phrase(text.standard(F.col(path)), query[1:-1])
+            out = out | text.may_hold(F.col(path), text.terms_of(query[1:-1]), every=True) & text.match_phrase(text.standard(F.col(path)), query[1:-1])
         else:
-            out = out | text.match(fields.tokens(path), query)
+            out = out | text.may_hold(F.col(path), text.terms_of(query)) & text.match(fields.tokens(path), query)
     return out
 
 

@@ -32,6 +32,17 @@ def terms_of(query: str, analyzer: str = "standard") -> list[str]:
     return [x for x in words if analyzer != "stop" or x not in STOP_WORDS]
 
 
+def may_hold(text: Column, words: list[str], every: bool = False) -> Column:
+    """Whether a text can have any (or every) of these tokens: a token is a part of the text in small letters.
+
+    It stands before a predicate on tokens, so that most texts need not be cut into words.
+    """
+    low, out = F.lower(text), F.lit(every)
+    for w in words:
+        out = out & low.contains(w) if every else out | low.contains(w)
+    return out
+
+
 def match(tokens: Column, query: str, operator: str = "or", analyzer: str = "standard") -> Column:
     """Any (or all) of the query's words is among the tokens."""
     words = terms_of(query, analyzer)
@@ -55,14 +66,14 @@ def match_phrase(tokens: Column, query: str, analyzer: str = "standard") -> Colu
 def bm25(df: DataFrame, text: str, query: str, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of the rows that match any query word, by the published BM25 formula.
 
-    Each text is tokenised once; term and document frequencies and the mean length are one aggregation of a single row.
+    Document frequencies and the mean length are one aggregation of a single row over all texts; for the scores only texts
+    that may hold a query word are cut into words again.
     """
     words = sorted(set(terms_of(query)))
-    counts = df.select(F.col(key), standard(F.col(text)).alias("t"))
     times = lambda w: F.size(F.filter("t", lambda x: x == w))
-    counts = counts.select(key, F.size("t").alias("dl"), *(times(w).alias(f"tf{i}") for i, w in enumerate(words)))
-    totals = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    joined = counts.where(" or ".join(f"tf{i} > 0" for i in range(len(words)))).join(F.broadcast(totals))  # one row
+    counted = lambda some: some.select(F.col(key), standard(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), *(times(w).alias(f"tf{i}") for i, w in enumerate(words)))
+    totals = counted(df).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+    joined = counted(df.where(may_hold(F.col(text), words))).where(" or ".join(f"tf{i} > 0" for i in range(len(words)))).join(F.broadcast(totals))  # one row
     part = lambda i: F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = part(0)
     for i in range(1, len(words)):
