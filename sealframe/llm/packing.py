@@ -22,7 +22,7 @@ from sealframe.llm.shared import as_table, by_rows, cut
 
 #: Effort of the search: fillings looked at by the branch-and-bound, then rounds of rearrangement, if the bound isn't met
 #: before. It bounds the driver's time; all pieces are packed whatever it is.
-EFFORT = 20_000
+EFFORT = 2_000
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, chunks: str = "leading_space", capacity: int = 2048, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,33 +117,20 @@ def up_to(bits: int, n: int) -> int:
     return bits
 
 
-def dominated(filling: tuple[int, ...], slack: int, have: dict[int, int], lengths: int) -> bool:
-    """Whether a piece that is left out could take the place of one smaller piece of the filling or of several pieces.
-
-    Then the filling with that piece is no worse: what it sets free fits wherever the piece would have been. lengths: the
-    lengths that there are, as bits.
-    """
-    one = many = 0  # bits: sums of one piece, of two or more
-    for x in filling:
-        many |= (many | one) << x
-        one |= 1 << x
-    better = up_to(many, slack) | (up_to(one, slack - 1) << 1 if slack else 0)
-    better &= lengths
-    while better:
-        x = better.bit_length() - 1
-        if have[x] > filling.count(x):
-            return True
-        better ^= 1 << x
-    return False
-
-
 def undominated(have: dict[int, int], gap: int, waste: int):
     """(free, filling): all undominated fillings of a gap that leave at most `waste` free, fullest first, large pieces first.
 
-    Sets of reachable sums, as bits, keep every branch on the way to a filling.
+    A filling is dominated if a piece that is left out fits beside it, or could take the place of one smaller piece of it
+    or of several pieces: what it sets free fits wherever that piece would have been. So where the largest piece fits, nothing that is
+    less full than it alone counts. Sets of sums, as bits, keep the branches on which a filling can still be reached and
+    in which no such piece is left out; pieces come in descending order, so such a piece would never be taken later.
     """
     lengths = sorted((x for x, n in have.items() if n and x <= gap), reverse=True)
-    reach, inside, there = [1] * (len(lengths) + 1), (2 << gap) - 1, sum(1 << x for x in lengths)
+    largest = lengths[0] if lengths else 0
+    if gap - largest <= waste and (largest == gap or not lengths):
+        yield gap - largest, (largest,) * bool(lengths)
+        return
+    reach, inside = [1] * (len(lengths) + 1), (2 << gap) - 1
     for i in range(len(lengths) - 1, -1, -1):
         sums, left, part = reach[i + 1], min(have[lengths[i]], gap // lengths[i]), 1
         while left:
@@ -152,21 +139,34 @@ def undominated(have: dict[int, int], gap: int, waste: int):
             left, part = left - part, 2 * part
         reach[i] = sums
 
-    def exact(i: int, rest: int):
+    def exact(i: int, rest: int, free: int, one: int, many: int, out: int):
+        """Ways to go on from length i to the sum `rest`; one, many: sums of one piece taken, of two or more; out: lengths left."""
         if not rest:
-            yield ()
+            if not out & (2 << free) - 1:
+                yield ()
             return
         while i < len(lengths) and reach[i] >> rest & 1:
-            x = lengths[i]
-            for k in range(min(have[x], rest // x), 0, -1):
+            x, single, several, ways = lengths[i], one, many, []
+            for k in range(1, min(have[x], rest // x) + 1):
+                several |= (several | single) << x
+                single |= 1 << x
+                unused = out if k < have[x] else out & ~(1 << x)
+                if (up_to(several, free) | (up_to(single, free - 1) << 1 if free else 0)) & unused:
+                    continue  # a piece that is taken again may be the one that was left out
                 if reach[i + 1] >> rest - k * x & 1:
-                    for more in exact(i + 1, rest - k * x):
-                        yield (x,) * k + more
+                    ways.append((k, single, several, unused))
+            for k, single, several, unused in reversed(ways):
+                for more in exact(i + 1, rest - k * x, free, single, several, unused):
+                    yield (x,) * k + more
             i += 1
 
-    for free in range(min(waste, gap) + 1):
-        if reach[0] >> gap - free & 1:
-            yield from ((free, f) for f in exact(0, gap - free) if not dominated(f, free, have, there))
+    there = sum(1 << x for x in lengths)
+    for free in range(min(waste, gap - largest) + 1):
+        if free == gap - largest:
+            if lengths[-1] > free or len(lengths) == 1 and have[largest] == 1:
+                yield free, (largest,)
+        elif reach[0] >> gap - free & 1:
+            yield from ((free, f) for f in exact(0, gap - free, free, 0, 0, there))
 
 
 def without(have: dict[int, int], filling: tuple[int, ...], times: int = 1) -> dict[int, int]:

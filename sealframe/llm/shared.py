@@ -62,7 +62,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def parts(df: DataFrame, size: int = 256 << 20) -> int:
     """Partitions of about `size` bytes by Spark's own estimate of df, no fewer than spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # where Spark knows nothing, its estimate is beyond any table
     return least if estimate >= 1 << 60 else max(least, -(-estimate // size))
 

@@ -123,9 +123,9 @@ def test_undominated_fillings_against_all_subsets():
         every = {f for n in range(len(list(have.elements())) + 1) for f in itertools.combinations(sorted(have.elements(), reverse=True), n) if sum(f) <= gap}
 
         def beaten(f):
-            """Whether some of its pieces can give way to one left-out piece that is larger, or as large as several."""
+            """Whether none or some of its pieces can give way to one left-out piece that is larger, or as large as several."""
             left = have - Counter(f)
-            return any(sum(s) <= x <= sum(s) + gap - sum(f) and (len(s) > 1 or x > sum(s)) for x in left for n in range(1, len(f) + 1) for s in itertools.combinations(f, n))
+            return any(sum(s) <= x <= sum(s) + gap - sum(f) and (len(s) > 1 or x > sum(s)) for x in left for n in range(len(f) + 1) for s in itertools.combinations(f, n))
 
         waste = random.randint(0, gap)
         got = list(packing.undominated(dict(have), gap, waste))
@@ -159,7 +159,7 @@ def test_planted_triples(sequences, capacity, more):
         b = random.randint(capacity // 4, (capacity - a) // 2)
         lengths += [a, b, capacity - a - b]
     have = Counter(lengths)
-    plan = packing.bin_completion(have, capacity)
+    plan = packing.bin_completion(have, capacity, effort=4_000)
     assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in plan), Counter()) == have
     assert sequences <= sum(n for _, n in plan) <= sequences + more < sum(n for _, n in packing.best_fit(have, capacity))
 
@@ -193,6 +193,14 @@ def test_token_files_round_trip(spark, small, odd, nothing, table):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
 
 
+def test_least_doc_id_and_many_without(spark):
+    rows = [(-(2**63), "least")] + [(None, f"none {i % 3}") for i in range(200)] + [(7, "same")] * 200
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), FILES["words"], "words", 1, files=4)
+    assert manifest.count() == 4 and max(r["n_docs"] for r in manifest.collect()) < 200
+    got = [r["doc_id"] for r in token_files.read_back(manifest).orderBy("start").collect()]
+    assert got == [None] * 200 + [-(2**63)] + [7] * 200
+
+
 def test_reader_takes_only_what_is_asked_and_finds_damage(spark, odd, monkeypatch):
     manifest = token_files.write(odd, FILES["words"], "words", 1, files=1).collect()
     path = manifest[0]["path"].removeprefix("file://")
