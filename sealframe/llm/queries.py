@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_template_decontamination,
 }
 
-SQL: dict[str, str] = {"op2_license_scan": licenses.SQL}
+SQL: dict[str, str] = {"op2_license_scan": licenses.SQL, "op6_warc_revisits": warc.SQL, "op8_host_quality_rules": quality.SQL}
