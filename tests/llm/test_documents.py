@@ -4,11 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
 import pytest
 import xxhash
+from tests.conftest import ROOT
 from tests.llm.conftest import CLASHES, ODD
 
 from sealframe.llm import decontaminate, licenses, pii, quality, simhash, url_filter, warc
@@ -102,6 +105,20 @@ def test_quality(spark, small, odd, table):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_quality_against_sql(spark, small):
+    bad = " ".join(f"#{i}" for i in range(80))
+    own = spark.createDataFrame([(10_000 + i, bad, "spam") for i in range(60)] + [(20_000, None, None), (20_001, "", "x"), (20_002, bad, None), (20_003, "a b c " * 40 + "d", "x")], "doc_id long, text string, source string")
+    docs = documents(spark, small).select("doc_id", "text", "source").unionAll(own)
+    table = docs.toPandas()
+    with duckdb.connect() as c:
+        c.register("given", table)
+        c.execute("create table documents as select doc_id::bigint as doc_id, text::varchar as text, source::varchar as source from given")
+        want = Counter(c.execute(quality.SQL).fetchall())
+    got = quality.digests(docs).collect()
+    assert Counter(map(tuple, got)) == want
+    assert not any(r["kept"] for r in got if r["doc_id"] == 10_000) and any(not r["base_failed"] and not r["kept"] for r in got)
+
+
 def test_bad_hosts_are_rejected_and_others_not(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), " ".join(f"#{i}" for i in range(80))
     rows = [(i, good, f"h{i % 20}") for i in range(400)] + [(1000 + i, bad if i % 10 else good, "spam") for i in range(200)] + [(2000, bad, "once"), (3000, good, None)]
@@ -181,6 +198,33 @@ def test_redaction(spark, odd, nothing):
     assert pii.redact("a 1.1.1.1 b", [(2, 9, 1), (4, 9, 2)]) == "a [IP] b"
 
 
+def test_a_long_text_of_numbers_takes_little_memory():
+    """In a process of its own: 10 MB of candidate words, most of them linked."""
+    code = (
+        "import random, resource; from sealframe.llm import pii; random.seed(1); import numpy as np;"
+        "model = pii.Model(np.zeros((pii.FEATURES, 5)).tolist(), np.zeros((5, 5)).tolist(), 1.0);"
+        "text = ' '.join(f'x{random.randrange(10**6):06d}' for _ in range(1_250_000));"
+        "assert len(text) > 9_900_000; pii.find(text, model);"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < 500 * 1024
+
+
+def test_links_against_all_pairs():
+    random.seed(2)
+    for _ in range(300):
+        text = " ".join(random.choice(["12345", "1234567", "123-4567", "ab12345@x.yz", "AB12345", "no", "+1 234567890"]) for _ in range(random.randint(1, 14)))
+        w = pii.candidates(text, pii.base_spans(text))
+        of = [set(pii.keys(text[a:b])) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+        want = set()
+        for i, own in enumerate(of):
+            for key in own:
+                like = [j for j in range(i) if key in of[j]]
+                want |= {(j, i) for j in (like[:1] + like[-1:])}
+        assert set(zip(w.earlier.tolist(), w.later.tolist(), strict=True)) == want
+
+
 # benchmark
 
 
@@ -188,7 +232,8 @@ def test_decontamination_finds_verbatim_items(spark, small, odd, nothing):
     docs, bench = documents(spark, small), spark.read.parquet(f"{small}/benchmark.parquet")
     grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     items = {r["item_id"]: grams(r["text"]) for r in bench.collect()}
-    want = {(d, i) for d, t in docs.select("doc_id", "text").collect() for i, g in items.items() if g and len(g & grams(t)) >= 0.8 * len(g)}
+    of = [(d, grams(t)) for d, t in docs.select("doc_id", "text").collect()]
+    want = {(d, i) for d, own in of for i, g in items.items() if g and len(g & own) >= 0.8 * len(g)}
     got = decontaminate.digests(docs, bench).collect()
     assert want <= {(r["doc_id"], r["item_id"]) for r in got}
     assert {r["doc_id"] for r in got} == {d for d, _ in want}
@@ -227,9 +272,71 @@ def test_copies_after_inconsistent_passages_and_with_words_put_in(spark):
     assert {(r["doc_id"], r["kind"]) for r in got} == {(1, "exact"), (3, "exact"), (4, "exact")}
 
 
+def test_slots_agree_both_ways(spark):
+    item = "Yesterday Tom bought 12 apples and 5 pears for Mary, and then Tom gave 12 apples back because 5 pears were quite enough for the week."
+    alike = "Yesterday Anna bought 7 apples and 7 pears for Anna, and then Anna gave 7 apples back because 7 pears were quite enough for the week."
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert decontaminate.digests(spark.createDataFrame([(1, alike)], "doc_id long, text string"), bench).count() == 0
+
+
+def test_short_items_and_items_of_mostly_placeholders(spark):
+    items = [(1, "Define entropy."), (2, "2 4 8 16 32 64 128"), (3, "5 km in miles?"), (4, "Anna 12, Paul 15, Mary 19, Tom 22: 1 2 3")]
+    texts = ["Please define Entropy here", "Then 2, 4, 8, 16, 32, 64, 128 follow.", "What is 5 km in miles", "we saw anna 12, paul 15, mary 19, tom 22: 1 2 3 go", "Define the entropy", "4 8 16 32 64 2", "6 km in miles", "Anna 13, Paul 16, Mary 11, Tom 2: 5 6 7"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.digests(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i + 1, "exact") for i in range(4)}
+
+
+def test_planted_copies_among_lookalikes(spark):
+    """Copies with other values, in small letters, with look-alikes before them and repeats after: all are found, nothing else is."""
+    random.seed(12)
+    words = ["".join(random.choices("bcdfglmnprst", k=2)) + random.choice("aeiou") + random.choice("bdgmnst") for _ in range(400)]
+    names = [w.capitalize() + "o" for w in words[:60]]
+
+    def made(pattern, values):
+        return " ".join(values[x] if isinstance(x, int) else x for x in pattern)
+
+    items, docs, want = [], [], set()
+    filler = lambda n: " ".join(random.choices(words[60:], k=n))
+    for i in range(25):
+        own = {**dict(enumerate(random.sample(names, 3))), **{3 + k: str(v) for k, v in enumerate(random.sample(range(2, 999), 3))}}
+        pattern = ["so", *(random.choice([*own]) if k % 4 == 2 else random.choice(words[60:]) for k in range(28))]
+        items.append((i, made(pattern, own)))
+        other = {**dict(enumerate(random.sample(names, 3))), **{3 + k: str(v) for k, v in enumerate(random.sample(range(2, 999), 3))}}
+        copy = made(pattern, other)
+        loose = " ".join(random.choice(names) if x in (0, 1, 2) else str(random.randint(1, 999)) if isinstance(x, int) else x for x in pattern)
+        kinds = [copy, copy.lower(), items[-1][1].lower(), f"{' '.join(loose.split()[:20])} {filler(7)} {copy}", f"{copy} {copy}", made(pattern[:14], other) + " " + random.choice(words[60:]) + " " + made(pattern[14:], other)]
+        for text in kinds:
+            want.add((len(docs), i))
+            docs.append((len(docs), f"{filler(12)} {text} {filler(9)}"))
+        for text in (filler(60), " ".join(copy.split()[:16]) + " " + filler(20)):
+            docs.append((len(docs), text))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.digests(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
+def test_decontamination_with_long_texts_and_clashing_names(spark):
+    item = "Yesterday Tom bought 12 apples and 5 pears for Mary, and then Tom gave 12 apples back."
+    docs = spark.createDataFrame([(1, "some words of no item " * 40_000 + item, "x"), (2, "some words of no item " * 4_000, "x")], "doc_id long, text string, hash string")
+    bench = spark.createDataFrame([(1, item, "x", "y"), (1, item, "x", "y"), (2, None, None, None), (3, "", "", "")], "item_id long, text string, hash string, at string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.digests(docs, bench).collect()] == [(1, 1)]
+
+
 # licenses
 
 
+def test_license_versions_and_given_templates(spark):
+    of = {a: b for a, b in licenses.NOTICES if len(b) > 100}
+    texts = [of["BSD-2-Clause"], of["BSD-3-Clause"], "This program is free software: " + of["GPL-3.0"], "This library is free software; " + of["LGPL-2.1"], of["MIT"].replace("the Software", "the Program", 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()}
+    assert got == {(0, "BSD-2-Clause"), (1, "BSD-3-Clause"), (2, "GPL-3.0"), (3, "LGPL-2.1"), (4, "MIT")}
+    own = spark.createDataFrame([("House", "all of this belongs to the house and to nobody else", 1), ("Empty", None, 2)], "license string, text string, template int")
+    rows = spark.createDataFrame([(1, "Know: all of this belongs to the house and to nobody else!"), (2, "nothing")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["containment"]) for r in licenses.scan(rows, own).collect()] == [(1, "House", 1.0)]
+    assert licenses.scan(rows, own.limit(0)).count() == 0
+
+
 def test_licenses_against_sql(spark, small, odd, nothing):
     texts = ["x " * 30 + licenses.NOTICES[i][1].upper() + " y" * 40 for i in range(len(licenses.NOTICES))] + [licenses.NOTICES[5][1].replace("free of charge", "free"), "Released under the MIT license again. " * 3]
     made = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
@@ -265,12 +372,42 @@ def test_archives(spark, small, odd):
             assert r["refers_to"] == original and r["payload"] is None
     assert sum(r["record_type"] == "response" for r in got if r["name"] == 10_001) == 1
     assert warc.digests(pages.limit(0)).collect() == []
+    # records are named once, and revisits name what they refer to
+    whole, infos = [], 0
+    for r in warc.write(pages.unionAll(some)).collect():
+        with open(r["path"].removeprefix("file://"), "rb") as f:
+            for member in warc.members(f):
+                head, _ = warc.parse_record(member)
+                infos += head["WARC-Type"] == "warcinfo"
+                whole.append(head)
+    assert infos and len({h["WARC-Record-ID"] for h in whole}) == len(whole) == len(rows) + infos
+    for h in whole:
+        assert h["WARC-Block-Digest"] and h["WARC-Date"] >= "2025"
+        if h["WARC-Type"] == "revisit":
+            first = next(x for x in whole if x["WARC-Record-ID"] == h["WARC-Refers-To"])
+            assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["WARC-Date"] == h["WARC-Refers-To-Date"] and first.get("WARC-Target-URI") == h.get("WARC-Refers-To-Target-URI")
+    dated = spark.sql("select 1L as page_id, 'u' as url, 'x' as html, timestamp '2020-02-03 04:05:06' as at")
+    with open(warc.write(dated, date="at", file_bytes=1).first()["path"].removeprefix("file://"), "rb") as f:
+        assert [warc.parse_record(m)[0]["WARC-Date"] for m in warc.members(f)][1] == "2020-02-03T04:05:06Z"
+    assert len(warc.write(pages.coalesce(1), file_bytes=2_000).collect()) > 1
+    large = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000)], pages.schema)
+    assert {(r["page_id"], r["record_type"]) for r in warc.digests(large).collect()} == {(1, "response"), (2, "revisit")}
     # with a least size all small payloads are responses
     assert {r["record_type"] for r in warc.read_back(warc.write(some, smallest=10_000)).collect()} == {"response"}
     clash = odd.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html").withColumnRenamed("source", "url")
     assert warc.digests(clash).count() == odd.count()
 
 
+def test_archives_against_sql(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "html")
+    pages = pages.unionAll(spark.createDataFrame([(10_001, "same"), (10_002, None), (10_003, "same"), (10_004, ""), (10_005, "é")], pages.schema)).selectExpr("page_id", "cast(page_id as string) as url", "html")
+    table = pages.toPandas()
+    with duckdb.connect() as c:
+        c.register("given", table)
+        c.execute("create table pages as select page_id::bigint as page_id, html::varchar as html from given")
+        assert Counter(map(tuple, warc.digests(pages).collect())) == Counter(c.execute(warc.SQL).fetchall())
+
+
 # urls
 
 
