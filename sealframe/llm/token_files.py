@@ -1,7 +1,7 @@
 """Token-id files of independent zstandard frames with a trailing seek table.
 
 A file holds one frame for each document (its ids as little-endian unsigned 32-bit integers), a skippable frame with the
-documents' ids in the same order, and the seek table of the public zstd seekable format: for each frame its compressed
+documents' ids in the same order and a bit for each that is null, and the seek table of the public zstd seekable format: for each frame its compressed
 size, its decompressed size and the low 32 bits of the XXH64 of its content. Any zstd tool can decompress such a file;
 a reader takes the seek table from the file's end and decompresses only the frames it was asked for.
 """
@@ -19,11 +19,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealframe.llm.shared import as_table, by_rows, scratch_path
+from sealframe.llm.shared import as_table, by_rows, parts, scratch_path
 
 #: Fixed values of the zstd seekable format: skippable frames' magic numbers, the footer's magic number, the flag for checksums.
 SKIPPABLE, SEEK_TABLE, FOOTER, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-#: A document whose doc_id is null.
+#: Stands in the place of a null doc_id; bits after the names tell it from a doc_id of this value.
 NO_ID = -(2**63)
 
 
@@ -50,12 +50,14 @@ class Writer:
         frame = self.compress(ids)
         self.out.write(frame)
         self.entries += struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF)
-        self.names.append(NO_ID if name is None else name)
+        self.names.append(name)
 
     def finish(self) -> None:
+        import numpy as np
         import xxhash
 
-        names = struct.pack(f"<{len(self.names)}q", *self.names)
+        names = struct.pack(f"<{len(self.names)}q", *(NO_ID if x is None else x for x in self.names))
+        names += np.packbits([x is None for x in self.names], bitorder="little").tobytes()
         self.out.write(struct.pack("<II", SKIPPABLE, len(names)) + names)
         # the frame of names has no content, so the table lists it with its size and nothing decompressed
         table = bytes(self.entries) + struct.pack("<III", 8 + len(names), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)
@@ -80,7 +82,8 @@ class Reader:
         self.sizes, self.lengths, self.sums = table[:-1].T.astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         source.seek(int(self.offsets[-1]) + 8)
-        self.names = np.frombuffer(source.read(int(table[-1, 0]) - 8), dtype="<i8")
+        self.names = np.frombuffer(source.read(8 * (frames - 1)), dtype="<i8")
+        self.nulls = np.unpackbits(np.frombuffer(source.read(int(table[-1, 0]) - 8 - 8 * (frames - 1)), dtype=np.uint8), count=frames - 1, bitorder="little")
 
     def read(self, k: int) -> bytes:
         """The ids of the k-th document; raises ValueError if they don't match their checksum."""
@@ -112,16 +115,18 @@ def read_documents(path: str, names: Iterable[int]) -> Iterator[tuple[int, bytes
 def write(docs: DataFrame, tokenizer: str, chunks: str, end_id: int, path: str | None = None, files: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; returns the stored manifest.
 
-    Manifest: part (order of the files), path, n_docs, n_tokens. Null doc_ids come first, repeated ones stand together,
+    Manifest: part (order of the files), path, n_docs, n_tokens. files: by default one for each 256 MB of the table, as
+    Spark estimates it. Null doc_ids come first, repeated ones stand together,
     null and empty texts are end_id alone, other columns are ignored; an empty table makes no files. Files are written
     under the task attempt's name, and the manifest names those of the attempts that ended well, so a lost executor or
     a second attempt leaves nothing wrong behind.
     """
-    spark = docs.sparkSession
-    path = path or scratch_path(spark, "token-files")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = path or scratch_path(docs.sparkSession, "token-files")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = source.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    files = files or parts(source)
+    # rows of one doc_id, or none, are dealt by their texts and places, so that many of them are many ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    dealt = source.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order).drop("row")
 
     def save(batches):
         from pyspark import TaskContext
@@ -150,10 +155,9 @@ def write(docs: DataFrame, tokenizer: str, chunks: str, end_id: int, path: str |
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (binary) of all documents of the files."""
-    spark = manifest.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = files.repartition(max(1, manifest.count()))
 
     def load(batches):
         for paths, starts in by_rows(batches, "path", "start"):
@@ -165,7 +169,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                         ids = [reader.read(i) for i in range(k, min(k + 256, len(reader.names)))]
                         n = [len(x) // 4 for x in ids]
                         *at_start, start = accumulate(n, initial=start)
-                        names = [None if x == NO_ID else x for x in reader.names[k : k + 256].tolist()]
+                        names = [None if no else x for x, no in zip(reader.names[k : k + 256].tolist(), reader.nulls[k : k + 256].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at_start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return dealt.select("path", "start").mapInArrow(load, "doc_id long, start long, n_tokens long, ids binary")
