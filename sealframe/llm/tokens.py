@@ -24,8 +24,9 @@ CHUNKS = {
     "words": re.compile(f"[^{WHITE}]+"),
 }
 
-#: Bytes, about, that a worker's memory of chunks takes at most, and that of those which are rare. Longer chunks are encoded anew.
-REMEMBERED, ASIDE, LONG_CHUNK = 80 << 20, 4 << 20, 64
+#: Bytes, about, that a generation of a worker's memory of chunks takes at most, and that of those which are rare. Longer
+#: chunks are encoded anew.
+REMEMBERED, ASIDE, LONG_CHUNK = 72 << 20, 4 << 20, 64
 #: Bytes of an entry beside its characters and ids: objects' heads and the dictionary's slot.
 ENTRY = 160
 
@@ -38,16 +39,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Chunk to ids; asks the tokenizer for what is missing, and forgets all when it is full."""
+    """Chunk to ids; asks the tokenizer for what is missing, and forgets all when it is full.
 
-    def __init__(self, encode, marks, fold: bool = False, limit: int | None = None):
+    older: keeps what it held when it was full as an older generation, whose chunks need not be encoded anew.
+    """
+
+    def __init__(self, encode, marks, fold: bool = False, limit: int | None = None, older: bool = False):
         super().__init__()
-        self.encode, self.marks, self.fold, self.held = encode, marks, fold, 0
+        self.encode, self.marks, self.fold, self.held, self.old = encode, marks, fold, 0, {} if older else None
         self.limit = REMEMBERED if limit is None else limit
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(MARKS)
-        if len(core) < len(chunk) and core[-1:].isalpha():
+        if self.old and (before := self.old.get(chunk)) is not None:
+            ids = before
+        elif len(core) < len(chunk) and core[-1:].isalpha():
             ids = self[core] + self.marks(chunk[len(core) :])
         elif self.fold and chunk.isascii() and (low := chunk.lower()) != chunk:
             ids = self[low]
@@ -56,6 +62,8 @@ class _Known(dict):
         if len(chunk) <= LONG_CHUNK:
             size = ENTRY + len(ids) + len(chunk) * (1 if chunk.isascii() else 4)
             if self.held + size > self.limit:
+                if self.old is not None:
+                    self.old = dict(self)
                 self.clear()
                 self.held = 0
             self[chunk] = ids
@@ -84,7 +92,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.chunks, self.fold = chunks, chunks == "words"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known = _Known(self.word, self.direct, self.fold, ASIDE if chunks == "leading_space" else None)
+        self.known = _Known(self.word, self.direct, self.fold, ASIDE if chunks == "leading_space" else None, older=self.fold)
         #: By word: the ids of the word after a space, or of the word at a line's start with its line end.
         self.spaced = _Known(lambda x: self.word(x, " "), self.known.__getitem__)
 
